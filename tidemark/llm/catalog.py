@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules
+from tidemark.llm import line_dedup, quality_rules
 
 _ALL = {
+    "op1_line_dedup": (line_dedup.query, line_dedup.ORACLE_SQL),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
 }
 
