@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, quality_rules, simhash
+from tidemark.llm import line_dedup, mixing, quality_rules, simhash
 
 _ALL = {
     "op1_line_dedup": (line_dedup.query, line_dedup.ORACLE_SQL),
     "op2_simhash": (simhash.query, None),
+    "op10_mixing": (mixing.query, None),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
 }
 
