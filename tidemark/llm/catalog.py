@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash, token_files
+from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_files
 
 _ALL = {
     "op1_line_dedup": (line_dedup.query, line_dedup.ORACLE_SQL),
@@ -10,6 +10,7 @@ _ALL = {
     "op9_bpe": (bpe.query, None),
     "op10_mixing": (mixing.query, None),
     "op4_token_files": (token_files.query, None),
+    "op5_substring_dedup": (substring_dedup.query, None),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
 }
 

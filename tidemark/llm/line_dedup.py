@@ -7,8 +7,8 @@ twice), so *twice* has no false negatives.  Only lines whose key hits
 *twice* are shuffled, as whole keys pre-summed per batch; the exact counts
 confirm which keys repeat and where each occurs first.
 
-The filters have ``16`` bits a line, at most ``MAX_BITS``: above that size
-more lines are suspected and shuffled, the result stays exact.
+The filters have 16 bits a line up to a bound (see ``bloom``): above it more
+lines are suspected and shuffled, the result stays exact.
 
 Defined results: null or empty text is one empty line; empty keys never
 repeat (``min_chars`` is at least 1); every row is a document of its own,
@@ -18,7 +18,6 @@ columns named as outputs are replaced, other columns are kept.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._common import WS, stored, text_of
+from tidemark.llm.bloom import SEGMENT_SCHEMA, filter_bits, has_bits, merged, segments, set_bits
 
-MAX_BITS = 1 << 28
-BITS_PER_LINE = 16
-SEGMENT = 1 << 16
 #: Confirmed keys up to this many bytes are broadcast; more are joined.
 BROADCAST_BYTES = 32 << 20
 _LAST = (1 << 63) - 1
@@ -48,24 +45,6 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64, count=len(keys))
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    mask = np.uint64(bits - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask]).astype(np.int64)
-
-
-def set_bits(filt: np.ndarray, hashes: np.ndarray) -> None:
-    at = np.unique(_positions(hashes, len(filt) * 8))
-    if len(at):
-        byte = at >> 3
-        first = np.flatnonzero(np.diff(byte, prepend=-1))
-        filt[byte[first]] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
-
-
-def has_bits(filt: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _positions(hashes, len(filt) * 8)
-    return ((filt[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-
-
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
@@ -85,7 +64,7 @@ def twice_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
     spark = docs.sparkSession
     newlines = F.length("_td_text") - F.length(F.translate("_td_text", "\n", "")) + 1
     n_lines = docs.agg(F.coalesce(F.sum(newlines), F.lit(0))).first()[0]
-    bits = min(MAX_BITS, max(8 * SEGMENT, 1 << int(BITS_PER_LINE * max(1, n_lines) - 1).bit_length()))
+    bits = filter_bits(n_lines)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
@@ -94,35 +73,11 @@ def twice_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
             found, counts = np.unique(_hashes(keys), return_counts=True)
             set_bits(twice, found[(counts > 1) | has_bits(once, found)])
             set_bits(once, found)
-        for i in range(len(once) // SEGMENT):
-            part = slice(i * SEGMENT, (i + 1) * SEGMENT)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "seg": pa.array([i], pa.int32()),
-                    "once": pa.array([zlib.compress(once[part], 1)], pa.binary()),
-                    "twice": pa.array([zlib.compress(twice[part], 1)], pa.binary()),
-                }
-            )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                new = [np.frombuffer(zlib.decompress(row[k]), np.uint8) for k in ("once", "twice")]
-                old = acc.setdefault(row["seg"], [np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, np.uint8)])
-                old[1] |= new[1] | (old[0] & new[0])
-                old[0] |= new[0]
-        for seg, (_, twice) in acc.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "twice": pa.array([zlib.compress(twice, 1)], pa.binary())})
+        yield from segments(once, twice)
 
     # A filter per task is shuffled, so as many tasks as there are cores, however many splits there are.
     tasks = docs.coalesce(2 * spark.sparkContext.defaultParallelism)
-    parts = tasks.mapInArrow(build, "seg int, once binary, twice binary")
-    merged = parts.repartition(F.col("seg")).mapInArrow(merge, "seg int, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        out[row.seg * SEGMENT : (row.seg + 1) * SEGMENT] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return out
+    return merged(tasks.mapInArrow(build, SEGMENT_SCHEMA), bits)
 
 
 def repeated_keys(docs: DataFrame, filt, min_docs: int, min_chars: int) -> DataFrame:
