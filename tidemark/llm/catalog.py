@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_files
+from tidemark.llm import bpe, html_extract, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_files
 
 _ALL = {
     "op1_line_dedup": (line_dedup.query, line_dedup.ORACLE_SQL),
     "op2_simhash": (simhash.query, None),
     "op9_bpe": (bpe.query, None),
     "op10_mixing": (mixing.query, None),
+    "op3_html_extract": (html_extract.query, None),
     "op4_token_files": (token_files.query, None),
     "op5_substring_dedup": (substring_dedup.query, None),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
