@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html_extract, line_dedup, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_files
+from tidemark.llm import bpe, html_extract, line_dedup, mixing, neighbours, quality_rules, secret_scan, simhash, substring_dedup, token_files
 
 _ALL = {
     "op1_line_dedup": (line_dedup.query, line_dedup.ORACLE_SQL),
@@ -14,6 +14,7 @@ _ALL = {
     "op5_substring_dedup": (substring_dedup.query, None),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
     "op7_secret_scan": (secret_scan.query, None),
+    "op8_neighbours": (neighbours.query, None),
 }
 
 
