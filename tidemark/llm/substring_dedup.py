@@ -8,13 +8,17 @@ is spread over the cluster and starts from seeds:
 1. *Seeds.*  Each window of ``length`` words names its smallest 8-word hash.
    Equal windows name equal seeds, and only some twentieth of all positions
    is ever named.  Seeds that two documents name are put in a bounded filter.
-2. *Reference blocks.*  The windows with such a seed are dealt by their hash
-   to blocks of the index; a block keeps the first document of each window.
-3. *Factors.*  Every document is parsed against every block that one of its
-   windows belongs to: it joins the index on the window hash (96 bits).
-   Windows found in a smaller document are put together greedily into
-   factors, as long as the words go on and the source document is the same.
-   Each window start has been looked up by itself, so factor boundaries hide
+2. *Units.*  A run of windows with one seed is a unit.  A seed whose units
+   are all alike needs no closer look: a unit is a factor of its document if
+   a smaller document has it.
+3. *Reference blocks.*  Elsewhere (where passages begin, end or differ) the
+   windows themselves are dealt by their hash to blocks of the index; a block
+   keeps the first document of each window.  Every document is parsed against
+   every block that one of its windows belongs to: it joins the index on the
+   window hash (95 bits).
+4. *Factors.*  What was found in smaller documents is put together greedily,
+   as long as the words go on and the source document is the same.  Each
+   window start has been looked up by itself, so factor boundaries hide
    nothing.
 
 Frequent passages are combined before the shuffle; joins have one row a
@@ -61,8 +65,8 @@ class Windows:
         grams = self.gram.slices(words, at, at + self.seed)
         return np.lib.stride_tricks.sliding_window_view(grams, self.length - self.seed + 1).min(axis=1)
 
-    def hashes(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        end = at + self.length
+    def hashes(self, words: np.ndarray, at: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+        end = at + size
         return self.window.slices(words, at, end), (self.check.slices(words, at, end) & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
@@ -82,40 +86,51 @@ def _seed_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("_td_id", "_td_text").mapInArrow(run, "seed long, doc long")
 
 
-def _window_rows(docs: DataFrame, filt, length: int, rows: int = 200_000) -> DataFrame:
-    """Windows whose seed is shared: (``w``, ``c``, ``doc``, ``at``); ``at`` holds 31 bits of ``h`` and the start."""
+def _rows(docs: DataFrame, filt, length: int, units: bool, rows: int = 200_000) -> DataFrame:
+    """Where a seed is in the filter: units, or their windows.
+
+    (``w``, ``c``, ``doc``, ``at``): hash and check of the words, document,
+    and its text's ``h`` and the start in one; units also ``seed`` and the
+    number ``n`` of their windows.
+    """
+    names = ["w", "c", "doc", "at", *["seed", "n"] * units]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, shared = Windows(length), np.frombuffer(filt.value, np.uint8)
         for batch in batches:
             out: list[tuple] = []
-            n = 0
+            count = 0
             for doc, h, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
                 words = tool.words(data)
                 seeds = tool.seeds(words)
                 if not len(seeds):
                     continue
-                # Neighbouring windows mostly share a seed: look each run up once.
                 first = np.flatnonzero(np.concatenate(([True], seeds[1:] != seeds[:-1])))
-                known = np.repeat(has_bits(shared, seeds[first]), np.diff(np.append(first, len(seeds))))
-                at = np.flatnonzero(known)
-                if not len(at):
+                n = np.diff(np.append(first, len(seeds)))
+                known = has_bits(shared, seeds[first])
+                if not known.any():
                     continue
-                w, c = tool.hashes(words, at)
-                out.append((w.view(np.int64), c, np.full(len(at), doc), at | (h & 0x7FFFFFFF) << 32))
-                n += len(at)
-                if n >= rows:
-                    yield _pack(out)
-                    out, n = [], 0
+                if units:
+                    at, n = first[known], n[known]
+                    w, c = tool.hashes(words, at, n + length - 1)
+                    more = (seeds[at].view(np.int64), n)
+                else:
+                    at, more = np.flatnonzero(np.repeat(known, n)), ()
+                    w, c = tool.hashes(words, at, length)
+                out.append((w.view(np.int64), c, np.full(len(at), doc), at | h << 32, *more))
+                count += len(at)
+                if count >= rows:
+                    yield _pack(out, names)
+                    out, count = [], 0
             if out:
-                yield _pack(out)
+                yield _pack(out, names)
 
-    return docs.select("_td_id", "_td_h", "_td_text").mapInArrow(run, "w long, c int, doc long, at long")
+    schema = "w long, c int, doc long, at long" + ", seed long, n long" * units
+    return docs.select("_td_id", "_td_h", "_td_text").mapInArrow(run, schema)
 
 
-def _pack(parts: list[tuple]) -> pa.RecordBatch:
-    w, c, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["w", "c", "doc", "at"])
+def _pack(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,21 +140,36 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def factor_table(work: DataFrame, length: int) -> DataFrame:
-    """(``_td_id``, ``_td_h``, ``_td_found``: array of (start, source)) of documents with windows in smaller ones."""
+    """(``_td_id``, ``_td_h``, ``_td_found``: array of (start, n windows, source)) of documents with windows in smaller ones."""
     spark = work.sparkSession
-    seeds = _seed_rows(work, length).groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("seed")
-    seeds = stored(seeds, "seeds")
-    filt = spark.sparkContext.broadcast(filter_of(seeds, seeds.count()).tobytes())
-    windows = _window_rows(work, filt, length)
+
+    def filtered(keys: DataFrame):
+        keys = stored(keys, "seeds")
+        return spark.sparkContext.broadcast(filter_of(keys, keys.count()).tobytes())
+
+    seeds = _seed_rows(work, length).groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    units = stored(_rows(work, filtered(seeds.where("a < b").select("seed")), length, units=True), "units")
+    range_of = [f(c).alias(f"{name}_{c}") for c in ("doc", "w", "c") for name, f in (("min", F.min), ("max", F.max))]
+    kinds = units.groupBy("seed").agg(*range_of).where("min_doc < max_doc")
+    kinds = kinds.select("seed", F.col("min_doc").alias("source"), F.expr("min_w = max_w AND min_c = max_c").alias("alike"))
+    kinds = stored(kinds, "seed-kinds")
+
+    whole = units.join(kinds.where("alike"), "seed").where("doc > source").select("doc", "at", "n", "source")
+    windows = _rows(work, filtered(kinds.where("NOT alike").select("seed")), length, units=False)
     index = windows.groupBy("w", "c").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("w", "c", "source")
-    found = windows.join(index, ["w", "c"]).where("doc > source")
-    start, h = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright("at", 32)
-    found = found.select(F.col("doc").alias("_td_id"), h.alias("_td_h"), F.struct(start.alias("start"), F.col("source").alias("source")).alias("x"))
+    single = windows.join(index, ["w", "c"]).where("doc > source").select("doc", "at", F.lit(1).cast("long").alias("n"), "source")
+
+    start, h = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32)
+    found = F.struct(start.cast("int").alias("start"), F.col("n").cast("int").alias("n"), "source").alias("x")
+    found = whole.unionByName(single).select(F.col("doc").alias("_td_id"), h.alias("_td_h"), found)
     return found.groupBy("_td_id", "_td_h").agg(F.collect_list("x").alias("_td_found"))
 
 
-def parse(starts: np.ndarray, sources: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, source) from windows found in smaller documents."""
+def parse(starts: np.ndarray, counts: np.ndarray, sources: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, words, source) from runs of windows found in smaller documents."""
+    before = np.cumsum(counts) - counts
+    starts = np.repeat(starts - before, counts) + np.arange(counts.sum())
+    sources = np.repeat(sources, counts)
     starts, first = np.unique(starts, return_index=True)
     if not len(starts):
         return []
@@ -178,7 +208,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 keep = np.ones(len(words), dtype=bool)
                 if found.is_valid:
                     x = found.values.flatten()
-                    own = parse(x[0].to_numpy(), x[1].to_numpy(), length)
+                    own = parse(*(c.to_numpy().astype(np.int64) for c in x), length)
                     for start, n, _ in own:
                         keep[start : start + n] = False
                 texts.append(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if own else b" ".join(words))
