@@ -139,10 +139,16 @@ def ablation(led: DataFrame, policy: str = CURRENT, rules: tuple[Rule, ...] = RU
 
 
 def filter_documents(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` (its own columns) that pass the policy."""
-    kept = docs.withColumn("_td_row", F.struct(*docs.columns))
-    led = apply_policy(ledger(kept.select("_td_row", F.col(text).alias("_td_in")), "_td_in"), policy)
-    return led.where("kept").select("_td_row.*")
+    """The rows of ``docs`` (its own columns) that pass the policy.
+
+    A filter would be pushed below the measurements with their expressions
+    put in place of their names, once for every use: far too large a
+    predicate.  A row number that the filter reads keeps it above them, so
+    everything is evaluated once.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("_td_row"), F.col(text).alias("_td_in"))
+    led = apply_policy(ledger(row, "_td_in"), policy).withColumn("_td_above", F.monotonically_increasing_id())
+    return led.where("kept AND _td_above >= 0").select("_td_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -104,15 +104,22 @@ def _stars(values: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
 def link_edges(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """Edges (``src``, ``dst`` fingerprints) that connect all pairs within the radius."""
     tables = covering_masks(radius, list(range(64)))
-    second = [covering_masks(radius, [b for b in range(64) if not m >> b & 1]) for m in tables]
-    fp = F.col("fp")
-    keyed = F.array(*(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables)))
-    rows = distinct.select("fp", F.explode(keyed).alias("k")).select("fp", "k.t", "k.key")
+    second = [[_signed(m | x) for x in covering_masks(radius, [b for b in range(64) if not m >> b & 1])] for m in tables]
+    masks = F.array(*(F.lit(_signed(m)) for m in tables))
+    rows = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(rows.join(sizes, ["t", "key"]), "buckets")
-    finer = F.array(*(F.array(*(F.lit(_signed(m | x)) for x in more)) for m, more in zip(tables, second, strict=True)))
-    hot = shared.where(F.col("n") > bucket).select("fp", "t", F.posexplode(F.get(finer, F.col("t"))).alias("u", "mask"))
-    hot = hot.select("fp", "t", "u", fp.bitwiseAND(F.col("mask")).alias("key"))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for table in np.unique(t).tolist():
+                own = fp[t == table]
+                for u, mask in enumerate(second[table]):
+                    number = pa.array(np.full(len(own), table, np.int32)), pa.array(np.full(len(own), u, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *number, pa.array(own & np.int64(mask))], names=["fp", "t", "u", "key"])
+
+    hot = shared.where(F.col("n") > bucket).select("fp", "t").mapInArrow(finer, "fp long, t int, u int, key long")
     cold = shared.where(F.col("n") <= bucket).select("fp", "t", F.lit(-1).alias("u"), "key")
     groups = cold.unionByName(hot).groupBy("t", "u", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
