@@ -178,8 +178,8 @@ class BlockEncoder:
         self.pattern = regex.compile(pattern)
         self.chunks = ChunkEncoder(self._encode)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        split = list(map(self.pattern.findall, chunks))
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        split = [self.pattern.findall(c.decode()) for c in chunks]
         pieces = list(set(chain.from_iterable(split)))
         packed = dict(zip(pieces, self.replay.packed([p.encode() for p in pieces]), strict=True))
         return [packed[s[0]] if len(s) == 1 else b"".join([packed[p] for p in s]) for s in split]
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                packed = list(enc.chunks(x.as_py() for x in part.column(part.num_columns - 1)))
+                packed = list(enc.chunks(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()))
                 cols = [*part.columns[:-1], pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
                 if decoded:
                     cols.append(pa.array([enc.replay.decode(unpack(p).tolist()) for p in packed], pa.binary()))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +45,8 @@ INDEX_MAGIC = 0x184D2A50
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 18
 NULL_ID = -(1 << 63)
+#: Letters below this code point, and marks, on which all Unicode versions agree.
+LATIN_END, MARKS = "\u0250", ",.;:!?"
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -121,6 +124,13 @@ class Reader:
         return self.document(k)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in own else chr(next(spare)) for b in range(256)}
+
+
 class LibraryEncoder:
     """Packed ids by the tokenizers library, each distinct chunk once."""
 
@@ -128,18 +138,58 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks = ChunkEncoder(self._encode, block_chars=1 << 22)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.newline = self._ids("\n")
+        if len(self.newline) != 1:
+            raise ValueError("the vocabulary has no newline token")
+        self.mapped = _byte_characters()
+        self.marks = {m: self._piece(m) for m in MARKS}
+        self.chunks = ChunkEncoder(self._encode)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text that is one piece, from the library's model itself."""
+        mapped = text.encode().decode("latin-1").translate(self.mapped)
+        return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks.
+
+        A chunk of Latin letters is one piece, and so is a mark behind it.
+        Other chunks go to the library many at a time: a newline between two
+        chunks without other white space is a piece of its own, so the lines
+        can be told apart again in the ids.
+        """
+        out = [b""] * len(chunks)
+        plain: list[tuple[int, str]] = []
+        for k, chunk in enumerate(chunks):
+            text = chunk.decode()
+            word = text[1:] if text[0] == " " else text
+            mark = word[-1:] if word[-1:] in MARKS else ""
+            body = word[:-1] if mark else word
+            if body.isalpha() and max(body) < LATIN_END:
+                out[k] = self._piece(text[:-1]) + self.marks[mark] if mark else self._piece(text)
+            elif word and not any(map(str.isspace, word)):
+                plain.append((k, text))
+            else:
+                out[k] = self._ids(text).tobytes()
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = self._ids("\n".join([t for _, t in part]))
+            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for (k, _), end in zip(part, ends, strict=True):
+                out[k] = raw[4 * start : 4 * end]
+                start = end + 1
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         """A text with the string of a special token in it is not cut."""
         whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        out = iter(self.chunks(t for k, t in enumerate(texts) if k not in whole))
-        return [self._encode([t])[0] if k in whole else next(out) for k, t in enumerate(texts)]
+        out = iter(list(self.chunks([t for k, t in enumerate(texts) if k not in whole])))
+        return [self._ids(t.decode()).tobytes() if k in whole else next(out) for k, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -171,7 +221,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    for doc, packed in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    for doc, packed in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                         writer.add(doc, packed + end)
             writer.close()
             size = sink.tell()
