@@ -52,7 +52,8 @@ class SnapshotTable:
 
     def read(self, snapshot: int | None = None) -> DataFrame:
         commits = self._commits(self.require(snapshot))
-        frame = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{c}" for c in commits))
+        base = f"{self.path}/data"
+        frame = self.spark.read.schema(self.schema).option("basePath", base).parquet(*(f"{base}/commit={c}" for c in commits))
         return frame.select(self.schema.names)
 
     def _read_or_empty(self) -> DataFrame:
@@ -65,9 +66,9 @@ class SnapshotTable:
         rows = frame.select(self.schema.names)
         if self.partition_time:
             rows = rows.withColumn("_day", F.to_date(self.partition_time)).repartition("_day")
-            rows.write.mode("errorifexists").partitionBy("_day").parquet(f"{self.path}/data/{commit}")
+            rows.write.mode("errorifexists").partitionBy("_day").parquet(f"{self.path}/data/commit={commit}")
         else:
-            rows.write.mode("errorifexists").parquet(f"{self.path}/data/{commit}")
+            rows.write.mode("errorifexists").parquet(f"{self.path}/data/commit={commit}")
         number = 0 if before is None else before + 1
         write_json(self.spark, f"{self.path}/snapshots/{number:012d}.json", {"commits": [*self._commits(before), commit]})
         return number
