@@ -91,7 +91,8 @@ class ChunkEncoder:
             if size >= self.block_bytes:
                 yield from self._block(block)
                 block, size = [], 0
-        yield from self._block(block)
+        if block:
+            yield from self._block(block)
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
         memo = self.memo
@@ -118,16 +119,18 @@ class ChunkEncoder:
         start.sort()
         end = np.append(start[1:], 0)
         owner = np.searchsorted(last, start)
-        tail = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) if len(start) else np.zeros(0, np.int64)
+        if not len(start):
+            return [b""] * len(texts)
+        tail = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
         end[tail] = last[owner[tail]]
         one, which = alike(data, start, end)
         found = self._ids([data[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         count = np.array([len(x) // 4 for x in found], dtype=np.int64)
         offset = np.cumsum(count) - count
-        n = count[which] if len(found) else np.zeros(0, np.int64)
+        n = count[which]
         stop = np.cumsum(n)
-        picked = np.repeat(offset[which] - (stop - n), n) + np.arange(n.sum()) if len(found) else np.zeros(0, np.int64)
+        picked = np.repeat(offset[which] - (stop - n), n) + np.arange(n.sum())
         ids = flat[picked].tobytes()
-        total = np.cumsum(np.bincount(owner, weights=n, minlength=len(texts))).astype(np.int64).tolist() if len(texts) else []
+        total = np.cumsum(np.bincount(owner, weights=n, minlength=len(texts))).astype(np.int64).tolist()
         return [ids[4 * s : 4 * e] for s, e in zip([0, *total[:-1]], total, strict=True)]
