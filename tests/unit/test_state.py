@@ -155,6 +155,8 @@ def test_diagnostics(spark):
     with pytest.raises(ValueError):
         diagnostics.time_split(df.limit(1), "t", "i")
     assert diagnostics.quantile_edges(df.select(F.lit(1.0).alias("s")), "s") == []
+    bins = diagnostics.compare_bins(df.where("i < 20"), df.where("i >= 20 AND s < 3"), "s", F.col("y")).orderBy("bin").collect()
+    assert [r.train_rows for r in bins] == [8, 4, 4, 4] and bins[3].test_rows is None
     import math
 
     assert math.isnan(diagnostics.drift(df.withColumn("s", F.lit(1.0)), df, ["s"]).first()["shift"])

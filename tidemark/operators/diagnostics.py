@@ -70,6 +70,13 @@ def quantile_rates(frame: DataFrame, column: str, label: Column, edges: list[flo
     return frame.withColumn("bin", bin_).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.when(label, 1.0).otherwise(0.0)).alias("rate"))
 
 
+def compare_bins(train: DataFrame, test: DataFrame, column: str, label: Column, parts: int = 4) -> DataFrame:
+    """(``bin``, rows and rates of both): test rows by the train quantiles; bins of either side are kept."""
+    edges = quantile_edges(train, column, parts)
+    sides = [quantile_rates(f, column, label, edges).select("bin", F.col("n_rows").alias(f"{tag}_rows"), F.col("rate").alias(f"{tag}_rate")) for f, tag in ((train, "train"), (test, "test"))]
+    return sides[0].join(sides[1], "bin", "outer")
+
+
 def at_k(frame: DataFrame, score: str, label: Column, key: str, k: int) -> DataFrame:
     """(``precision``, ``recall``) of the k highest scores, ties to the smaller key; 0 for nothing."""
     hit = F.when(label, 1).otherwise(0)

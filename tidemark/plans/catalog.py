@@ -473,3 +473,43 @@ def star_revenue(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name", "c_mktsegment").agg(F.count_distinct("o_orderkey").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@_query("""
+WITH e AS (SELECT *, ts < TIMESTAMP '2024-01-16' AS train FROM events WHERE event_type IN ('view', 'purchase')), q AS (SELECT quantile_cont(value, 0.0) AS a, quantile_cont(value, 0.25) AS b, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) AS d, quantile_cont(value, 1.0) AS z FROM e WHERE train),
+x AS (SELECT train, event_type = 'purchase' AS y, CASE WHEN value <= b THEN 0 WHEN value <= c THEN 1 WHEN value <= d THEN 2 ELSE 3 END::INTEGER AS bin FROM e, q WHERE value BETWEEN a AND z)
+SELECT bin, nullif(count(*) FILTER (WHERE train), 0) AS train_rows, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) FILTER (WHERE train), 6) AS train_rate,
+       nullif(count(*) FILTER (WHERE NOT train), 0) AS test_rows, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT train), 6) AS test_rate FROM x GROUP BY 1
+""")
+def compare_bins(spark, sf_dir):
+    train, test = (f.where("event_type IN ('view', 'purchase')") for f in _halves(spark, sf_dir))
+    out = diagnostics.compare_bins(train, test, "value", F.col("event_type") == "purchase")
+    return out.select("bin", "train_rows", F.round("train_rate", 6).alias("train_rate"), "test_rows", F.round("test_rate", 6).alias("test_rate"))
+
+
+@_query("""
+WITH s AS (SELECT user_id, count(*) AS event_count, count(DISTINCT event_type) AS unique_content_count, sum(value) AS total_watch_seconds, count(*) FILTER (WHERE event_type = 'click') AS search_count,
+                  count(*) FILTER (WHERE event_type = 'view') AS play_count, count(*) FILTER (WHERE event_type = 'purchase') AS watch_count, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 86400000000.0::DOUBLE AS days FROM events GROUP BY 1)
+SELECT user_id, round(round(0.30::DOUBLE * least(event_count / 10.0::DOUBLE, 1) + 0.20::DOUBLE * least(unique_content_count / 10.0::DOUBLE, 1) + 0.15::DOUBLE * least(total_watch_seconds / 3600.0::DOUBLE, 1) + 0.10::DOUBLE * least(search_count / 3.0::DOUBLE, 1)
+       + 0.10::DOUBLE * least(play_count / 3.0::DOUBLE, 1) + 0.05::DOUBLE * least(watch_count / 3.0::DOUBLE, 1) + 0.10::DOUBLE * greatest(0, 1 - least(days, 7) / 7.0::DOUBLE), 6) + 1e-10::DOUBLE, 5) AS score FROM s
+""")
+def engagement_score(spark, sf_dir):
+    e = events(spark, sf_dir)
+    count = profiles.count_of
+    s = e.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("event_count"), F.count_distinct("event_type").alias("unique_content_count"), F.sum("value").alias("total_watch_seconds"), count("event_type", "click").alias("search_count"),
+        count("event_type", "view").alias("play_count"), count("event_type", "purchase").alias("watch_count"), ((us(F.lit("2024-01-31").cast("timestamp")) - F.max(us(F.col("ts")))) / 86_400_000_000.0).alias("days_since_last_activity"),
+    )
+    return s.select("user_id", F.round(serving.user_score() + 1e-10, 5).alias("score"))
+
+
+@_query("""
+WITH r AS (SELECT o_custkey, count(*) FILTER (WHERE n_copy > 1) AS repeated FROM (SELECT o_custkey, o_orderpriority, count(*) AS n_copy FROM orders GROUP BY 1, 2) GROUP BY 1)
+SELECT c_custkey, coalesce(repeated, 0) AS repeated FROM customer LEFT JOIN r ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)
+""")
+def repeated_priorities(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    r = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
+    c = table(spark, sf_dir, "customer")
+    known = c.join(table(spark, sf_dir, "nation"), c["c_nationkey"] == F.col("n_nationkey"), "left_semi")
+    return known.join(r, "c_custkey", "left").select("c_custkey", F.coalesce("repeated", F.lit(0)).alias("repeated"))
