@@ -60,9 +60,15 @@ def _signed(x: int) -> int:
 
 
 def covering_masks(radius: int, bits: list[int]) -> list[int]:
-    """The kept bits of each table over the positions ``bits``."""
+    """The kept bits of each table over the positions ``bits``.
+
+    Where there are more vectors than bits, those of odd weight go first,
+    spread by a multiplicative hash: every table then keeps about half of
+    the bits.
+    """
     n = (1 << (radius + 1)) - 1
-    vector = {b: 1 + k % n for k, b in enumerate(bits)}
+    order = sorted(range(1, n + 1), key=lambda m: (m.bit_count() % 2 == 0, m * 0x9E3779B1 % (1 << 32)))
+    vector = {b: order[k % n] for k, b in enumerate(bits)}
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
