@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import text_of
+from tidemark.llm._common import held, small, text_of
 from tidemark.llm.chunks import ChunkEncoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -176,7 +175,7 @@ class BlockEncoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.replay = MergeReplay(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.chunks = ChunkEncoder(self._encode)
+        self.chunks = ChunkEncoder(self._encode, capacity=400_000)
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         split = [self.pattern.findall(c.decode()) for c in chunks]
@@ -185,9 +184,8 @@ class BlockEncoder:
         return [packed[s[0]] if len(s) == 1 else b"".join([packed[p] for p in s]) for s in split]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> BlockEncoder:
-    return BlockEncoder(path, pattern)
+    return held(("bpe", path, pattern), lambda: BlockEncoder(path, pattern))
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -206,8 +204,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in small(batch, 1000):
                 packed = list(enc.chunks(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()))
                 cols = [*part.columns[:-1], pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
                 if decoded:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import WS, stored, text_of
+from tidemark.llm._common import WS, release, small, stored, text_of
 from tidemark.llm.bloom import SEGMENT_SCHEMA, filter_bits, has_bits, merged, segments, set_bits
 
 #: Confirmed keys up to this many bytes are broadcast; more are joined.
@@ -67,8 +67,9 @@ def twice_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
     bits = filter_bits(n_lines)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in (s for b in batches for s in small(b)):
             keys = [k for t in _texts(batch, "_td_text") for k in _document_keys(t, min_chars)]
             found, counts = np.unique(_hashes(keys), return_counts=True)
             set_bits(twice, found[(counts > 1) | has_bits(once, found)])
@@ -163,14 +164,14 @@ def drop_repeated_lines(
         drop = spark.sparkContext.broadcast({r.key.encode(): (r.doc, r.line) for r in keys.toLocalIterator()})
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (s for b in batches for s in small(b)):
                 yield rebuilt(batch, [drop.value] * batch.num_rows)
 
         return source.mapInArrow(by_broadcast, typed)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(filt.value, np.uint8)
-        for batch in batches:
+        for batch in (s for b in batches for s in small(b)):
             rows = []
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, "_td_text"), strict=True):
                 own = list(_document_keys(text, min_chars))
@@ -187,7 +188,7 @@ def drop_repeated_lines(
     joined = source.join(per_doc, ["_td_id", "_td_h"], "left").select(*own, "_td_id", "_td_text", "_td_drop")
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in small(b)):
             found = batch.column(batch.schema.get_field_index("_td_drop")).to_pylist()
             yield rebuilt(batch, [{x["key"].encode(): (x["doc"], x["line"]) for x in f or ()} for f in found])
 

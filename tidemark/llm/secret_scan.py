@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import text_of
+from tidemark.llm._common import held, text_of
 
 
 @dataclass(frozen=True)
@@ -237,9 +236,8 @@ class Scanner:
         return out
 
 
-@lru_cache(maxsize=2)
 def _scanner(rules: tuple[Rule, ...]) -> Scanner:
-    return Scanner(rules)
+    return held(("secrets", rules), lambda: Scanner(rules))
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import stored, text_of
+from tidemark.llm._common import release, small, stored, text_of
 from tidemark.llm.components import connected_components
 
 BUCKET = 2048
@@ -78,7 +78,8 @@ def with_fingerprints(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     source = docs.select(*keep, text_of(text_col).alias("_td_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in (s for b in batches for s in small(b)):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, "fp"])
@@ -112,7 +113,9 @@ def link_edges(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFr
     tables = covering_masks(radius, list(range(64)))
     second = [[_signed(m | x) for x in covering_masks(radius, [b for b in range(64) if not m >> b & 1])] for m in tables]
     masks = F.array(*(F.lit(_signed(m)) for m in tables))
-    rows = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fingerprints are few bytes and become many rows: deal them out before that.
+    rows = distinct.select("fp").repartition(parts).select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(rows.join(sizes, ["t", "key"]), "buckets")
 

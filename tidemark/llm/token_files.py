@@ -19,11 +19,11 @@ text; an empty table gives files without frames; other columns play no part.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import scratch, stored, text_of
+from tidemark.llm._common import held, scratch, small, stored, text_of
 from tidemark.llm.chunks import ChunkEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -192,12 +192,9 @@ class LibraryEncoder:
         return [self._ids(t.decode()).tobytes() if k in whole else next(out) for k, t in enumerate(texts)]
 
 
-@lru_cache(maxsize=2)
 def _library(path: str) -> LibraryEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return LibraryEncoder(path)
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, files: int | None = None) -> DataFrame:
@@ -219,8 +216,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         with store.open_output_stream(draft, compression=None) as sink:
             writer = Writer(sink)
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
+                for part in small(batch, 1000):
                     for doc, packed in zip(part.column(0).to_pylist(), encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                         writer.add(doc, packed + end)
             writer.close()
