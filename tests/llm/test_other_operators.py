@@ -32,6 +32,8 @@ def page(body, head=""):
         (page("<article><p>a</p><script>var x='<p>no</p>';</script><style>p{}</style><form><label>f</label><input></form><p>b</article>"), "a\nb"),
         (page("<div class=cookie-notice>We use cookies, as everybody does.</div><article class=post><p>Yes.</p></article><aside>No, this is beside it.</aside>"), "Yes."),
         (page("<header><p>Site name and slogan.</p></header><article><header><h1>Title</h1></header><ul><li>i<li>j</ul></article>"), "Title\ni\nj"),
+        (page("<article><div class='article-header'><h1>Title</h1></div><p>x</p><div class=post-footer>Share this</div></article>"), "Title\nx"),
+        (page("<div id=content><p>Some words of a text that stands alone.</p><div class='share-buttons'>Share</div></div><div class=sidebar-widget><p>Beside the text, a whole sentence.</p></div>"), "Some words of a text that stands alone."),
         (page('<article><p title="a > b">q &lt; r &#233; &eacute;</p></article>'), "q < r é é"),
     ],
 )

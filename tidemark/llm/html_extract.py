@@ -74,14 +74,17 @@ BIAS, PER_WORD, MOST_WORDS, PUNCTUATED, LINKED = 0.2, 0.08, 2.5, 0.8, -4.0
 NEXT_TO, SAME_PARENT = 0.5, 0.5
 
 
-def _class_vote(value: str) -> int:
-    """-1 against, 1 for content, 0 for neither, from class or id names."""
+def _class_vote(value: str, inside: bool) -> int:
+    """-1 against, 1 for content, 0 for neither, from class or id names.
+
+    inside an article, a header is its title's.
+    """
     vote = 0
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
         if parts and parts[0] in _ABOUT:
             continue
-        if any(p in AGAINST_CLASSES for p in parts):
+        if any(p in AGAINST_CLASSES and not (inside and p == "header") for p in parts):
             return -1
         if any(p in FOR_CLASSES for p in parts):
             vote = 1
@@ -100,15 +103,14 @@ def _element_vote(name: str, attrs: str, above: tuple[float, bool]) -> tuple[flo
     vote, article = above
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
     role = found.get("role", "").lower()
-    by_class = _class_vote(f"{found.get('class', '')} {found.get('id', '')}") if found and name not in ("html", "body") else 0
+    inside = article and vote > 0
+    by_class = _class_vote(f"{found.get('class', '')} {found.get('id', '')}", inside) if found and name not in ("html", "body") else 0
     if name in AGAINST_TAGS or role in AGAINST_ROLES or (attrs and _HIDDEN.search(attrs) and name not in ("html", "body")):
         return AGAINST, article
     if name == "header" and not article:
         return AGAINST, article
     if by_class < 0:
-        # A title's header inside the article belongs to the article.
-        inner = article and vote > 0 and (name == "header" or name[0] == "h") and "header" in found.get("class", "").lower()
-        return (vote, article) if inner else (AGAINST, article)
+        return AGAINST, article
     if name in FOR_TAGS or role in FOR_ROLES:
         # A comment marked up as an article of its own stays a comment.
         return (vote, True) if vote <= AGAINST and article else (IN_MAIN, True)
