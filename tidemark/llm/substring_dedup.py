@@ -157,6 +157,8 @@ def factor_table(work: DataFrame, length: int) -> DataFrame:
     whole = units.join(kinds.where("alike"), "seed").where("doc > source").select("doc", "at", "n", "source")
     windows = _rows(work, filtered(kinds.where("NOT alike").select("seed")), length, units=False)
     index = windows.groupBy("w", "c").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("w", "c", "source")
+    # Read from a table, the index has a shuffle of its own, and Spark may split what a frequent window joins.
+    index = stored(index, "window-index")
     single = windows.join(index, ["w", "c"]).where("doc > source").select("doc", "at", F.lit(1).cast("long").alias("n"), "source")
 
     start, h = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32)
