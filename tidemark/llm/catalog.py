@@ -11,7 +11,7 @@ _ALL = {
     "op10_mixing": (mixing.query, None),
     "op3_html_extract": (html_extract.query, None),
     "op4_token_files": (token_files.query, None),
-    "op5_substring_dedup": (substring_dedup.query, None),
+    "op5_substring_dedup": (substring_dedup.query, substring_dedup.ORACLE_SQL),
     "op6_quality_rules": (quality_rules.query, quality_rules.ORACLE_SQL),
     "op7_secret_scan": (secret_scan.query, None),
     "op8_neighbours": (neighbours.query, None),
