@@ -15,8 +15,8 @@ from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from tidemark.llm._common import stored
 
 #: Near-duplicates: shingles of five words.  Fingerprints of texts with a shingle
-#: similarity of 0.8 differ in some 9 of 64 bits; the radius errs on the side of
-#: keeping documents, as what differs in 6 bits is rarely less alike than 0.8.
+#: similarity of 0.8 to 0.9 differ in 7 of 64 bits at the median; the radius errs on
+#: the side of keeping documents (figures in the README).
 SHINGLE_WORDS, RADIUS = 5, 6
 #: A line in this many documents stays only where it occurs first.
 REPEATED_IN = 10
