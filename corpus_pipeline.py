@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from tidemark.llm import bpe, line_dedup, mixing, quality_rules, shingle_join
 from tidemark.llm._common import stored
 
-#: Near-duplicates: shingles of five words.  Fingerprints of texts with a shingle
-#: similarity of 0.8 to 0.9 differ in 7 of 64 bits at the median; the radius errs on
-#: the side of keeping documents (figures in the README).
-SHINGLE_WORDS, RADIUS = 5, 6
+#: Near-duplicates: shingles of five words; a similarity of 0.8 or more (``shingle_join.SIMILAR``).
+SHINGLE_WORDS = 5
 #: A line in this many documents stays only where it occurs first.
 REPEATED_IN = 10
 
@@ -35,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.keep_one(docs, size=SHINGLE_WORDS, radius=RADIUS)
+    return shingle_join.keep_one(docs, size=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +54,7 @@ STAGES = [
     ("bpe_encoding", tokens),
 ]
 
-#: SQL cannot express the fingerprints, the fair queue or the merges.
+#: SQL cannot express the components, the fair queue or the merges.
 ORACLE_SQL = None
 
 

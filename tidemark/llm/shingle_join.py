@@ -1,0 +1,213 @@
+"""Near-duplicates by exact shingle similarity: a prefix-filtered set join.
+
+A text is the set of its hashed word shingles.  All shingles have one global
+order, those that a sample finds common last.  Two sets of similarity ``s``
+or more share a shingle among the first ``n - ceil(s * n) + 1`` of either, so
+postings of these prefixes miss no pair.  Every link is confirmed by the
+exact similarity of the two sets (of 64-bit hashes).
+
+Only distinct sets take part.  The members of a posting list are first
+compared with its smallest one; lists whose members are then still in
+different components compare the pairs across them, after exact bounds from
+sizes and parities.  Groups of copies thus cost rows in proportion.
+
+Defined results: letters A-Z count as a-z; fewer words than a shingle has are
+one shingle; null and blank texts are copies of one another; of a component
+the row with the smallest id stays (null ids come last, then the text's hash
+decides), one row for each component, also where ids are null or repeat; an
+empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm._common import PolyHash, held, release, small, stored, text_of, word_bounds
+from tidemark.llm.components import connected_components
+
+#: Similarity as a fraction.
+SIMILAR = 4, 5
+#: Texts in the sample for the order, in how many of them a shingle is common, and how many common ones are kept.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
+_PARITY = 256
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    word, run = held(("shingles",), lambda: (PolyHash(21), PolyHash(22)))
+    data = text.lower()
+    words = word.words(data, *word_bounds(data))
+    if not len(words):
+        return words
+    at = np.arange(max(1, len(words) - size + 1))
+    return np.unique(run.slices(words, at, np.minimum(at + size, len(words))))
+
+
+def set_key(found: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the global order, as many as a similar set must meet."""
+    num, den = SIMILAR
+    n = len(found)
+    take = n - -(-num * n // den) + 1
+    if not len(common) or take >= n:
+        return found[:take]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.lexsort((found, np.where(common[at] == found, rank[at], 0)))[:take]]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    num, den = SIMILAR
+    if num * max(len(a), len(b)) > den * min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def cross_links(keys: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect whatever similar pairs of a list are in different components."""
+    num, den = SIMILAR
+    n = np.array([len(s) for s in sets])
+    odd = np.stack([np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1) for s in sets]).view(np.uint64)
+    label = np.unique(roots, return_inverse=True)[1]
+    out = []
+    for i in range(len(keys) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(rest):
+            if (label == label[i]).all():
+                break
+            continue
+        rest = rest[num * np.maximum(n[rest], n[i]) <= den * np.minimum(n[rest], n[i])]
+        # Similar sets differ in at most (den - num) / (den + num) of their summed sizes, parities in no more than that.
+        apart = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64)
+        for j in rest[(den + num) * apart <= (den - num) * (n[rest] + n[i])].tolist():
+            if label[j] != label[i] and similar(sets[i], sets[j]):
+                out.append((keys[i], keys[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in (s for b in batches for s in small(b)):
+        yield batch, batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+
+
+def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sampled texts have, sorted, and in how many."""
+    share = SAMPLE / max(1, rows.count())
+    picked = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, size) for t in texts]).view(np.int64))], names=["s"])
+
+    counts = picked.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
+    s, n = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def posting_lists(distinct: DataFrame) -> DataFrame:
+    """(``list``, ``keys``): the different posting lists of two or more sets; from (``key``, ``first``)."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("key", F.explode("first").alias("s")).repartition(parts, "s").sortWithinPartitions("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, s = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in _closed(batches):
+            key, s = np.concatenate((key, batch[0])), np.concatenate((s, batch[1]))
+            # The last shingle may go on in the next batch.
+            full = len(s) if batch[2] else int(np.searchsorted(s, s[-1])) if len(s) else 0
+            cut = np.flatnonzero(np.diff(s[:full])) + 1
+            start, end = np.concatenate(([0], cut)), np.concatenate((cut, [full]))
+            more = end - start > 1
+            seen = {np.sort(key[a:b]).tobytes() for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True)}
+            key, s = key[full:], s[full:]
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, np.int64) for x in seen], pa.list_(pa.int64()))], names=["keys"])
+
+    lists = rows.mapInArrow(run, "keys array<long>")
+    return lists.groupBy(F.xxhash64("keys").alias("list"), F.xxhash64(F.lit(1), "keys").alias("check")).agg(F.first("keys").alias("keys")).select("list", "keys")
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, shingles, no more follow) of each batch."""
+    for batch in batches:
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), False
+    yield np.zeros(0, np.int64), np.zeros(0, np.int64), True
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (s for b in batches for s in small(b)):
+        a, b = (batch.column(k).to_pylist() for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+
+def _across(table: pa.Table) -> pa.Table:
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+    links = cross_links(table.column("key").to_pylist(), table.column("root").to_pylist(), sets)
+    return pa.table({"src": pa.array([a for a, _ in links], pa.int64()), "dst": pa.array([b for _, b in links], pa.int64())})
+
+
+def components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(``id``, ``h``, ``root``) for every row: its id, the hash of its text and its component."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
+    common, rank = _common(rows, size)
+    shared = docs.sparkSession.sparkContext.broadcast((common, rank))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch, texts in _texts(batches):
+            found = [shingle_set(t, size) for t in texts]
+            firsts = pa.array([prefix(f, *shared.value).view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([set_key(f) for f in found], pa.int64()), firsts], names=["id", "h", "key", "first"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            found = [shingle_set(t, size) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["key", "found"])
+
+    schema = docs.select(F.col(id_col).alias("id")).schema
+    keyed = stored(rows.mapInArrow(first, schema.add("h", "long").add("key", "long").add("first", T.ArrayType(T.LongType()))), "prefixes")
+    distinct = keyed.groupBy("key").agg(F.first("first").alias("first"))
+    lists = stored(posting_lists(distinct), "postings")
+    members = lists.select("list", F.explode("keys").alias("key"))
+    # The sets of what is in a list, from one text of each.
+    one = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("m"))
+    one = stored(one.select(F.col("m.id").alias("_td_id"), F.col("m.h").alias("_td_h")), "members")
+    texts = rows.join(one, (F.col("h") == F.col("_td_h")) & F.col("id").eqNullSafe(F.col("_td_id")), "left_semi")
+    sets = stored(texts.select("text").mapInArrow(whole, "key long, found binary").dropDuplicates(["key"]), "sets")
+
+    stars = lists.select(F.array_min("keys").alias("dst"), F.explode("keys").alias("src")).where("src != dst").distinct()
+    pairs = stars.join(sets.select(F.col("key").alias("src"), F.col("found").alias("a")), "src").join(sets.select(F.col("key").alias("dst"), F.col("found").alias("b")), "dst")
+    links = stored(pairs.select("src", "dst", "a", "b").mapInArrow(_confirm, "src long, dst long"), "links")
+    near = connected_components(links)
+    labelled = stored(members.join(near, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("root", "key").alias("root")), "labels")
+    open_lists = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("list")
+    across = labelled.join(open_lists, "list").join(sets, "key").groupBy("list").applyInArrow(_across, "src long, dst long")
+    found = connected_components(links.unionByName(stored(across, "more-links")))
+    return keyed.join(found, F.col("key") == F.col("node"), "left").select("id", "h", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of similar texts the one with the smallest id."""
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")
+    first = components(docs, id_col, text_col, size).groupBy("root").agg(best).select(F.col("m.id").alias("_td_id"), F.col("m.h").alias("_td_h"))
+    own = docs.withColumn("_td_own", F.xxhash64(text_of(text_col)))
+    kept = stored(own.join(first, (F.col("_td_own") == F.col("_td_h")) & F.col(id_col).eqNullSafe(F.col("_td_id"))).drop("_td_id", "_td_h"), "survivors")
+    # Repeats of a row: only ids and hashes are counted, and few rows have any.
+    again = kept.groupBy(id_col, "_td_own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("_td_id"), F.col("_td_own").alias("_td_h"))
+    same = (F.col("_td_own") == F.col("_td_h")) & F.col(id_col).eqNullSafe(F.col("_td_id"))
+    once = kept.join(again, same, "left_anti")
+    many = kept.join(again, same, "left_semi").dropDuplicates([id_col, "_td_own"])
+    return once.unionByName(many).select(*docs.columns)
