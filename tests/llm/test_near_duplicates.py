@@ -75,3 +75,16 @@ def test_every_pair_at_the_threshold_is_found(spark, monkeypatch, common):
     texts = made()
     kept = stage(spark, spark.createDataFrame(rows(texts), SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots_by_hand(texts)))
+
+
+def test_only_confirmed_links_drop_documents(spark):
+    """Fingerprints of half-similar texts are often near; none of these may go."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{r.randrange(3000)}" for _ in range(400))
+        texts += [base, edited(r, base, 0.04), edited(r, base, 0.06)]
+    sets = [shingles(t) for t in texts]
+    assert not any(alike(sets[i], sets[j]) for i in range(len(sets)) for j in range(i))
+    kept = stage(spark, spark.createDataFrame(rows(texts), SCHEMA))
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
