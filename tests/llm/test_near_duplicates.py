@@ -88,3 +88,12 @@ def test_only_confirmed_links_drop_documents(spark):
     assert not any(alike(sets[i], sets[j]) for i in range(len(sets)) for j in range(i))
     kept = stage(spark, spark.createDataFrame(rows(texts), SCHEMA))
     assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
+
+
+def test_one_row_for_each_component_whatever_its_ids(spark):
+    r = random.Random(5)
+    a, b, c, d, e, f = (" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(6))
+    given = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, e), (None, e), (3, f), (1, f), (3, edited(r, f, 0.01)), (None, None), (4, ""), (4, " \n")]
+    kept = stage(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA))
+    assert Counter((x.doc_id, x.text) for x in kept.where("doc_id IS NULL OR doc_id < 4").collect()) == Counter([(None, a), (None, b), (1, c), (1, d), (2, e), (1, f)])
+    assert kept.where("doc_id = 4").count() == 1 and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")

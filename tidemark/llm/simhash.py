@@ -159,7 +159,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest id of each class.
 
-    Where ids repeat within a class, or are null, one row of them stays.
+    One row stays of all with one id, and one of all with a null id, also where
+    their texts differ; ``shingle_join.keep_one`` chooses by component instead.
     """
     ids = classes(docs, id_col, text_col, size, radius)
     first = ids.groupBy("component_id").agg(F.count(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), 1)).alias("_td_n"))
