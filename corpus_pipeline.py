@@ -42,8 +42,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, as little-endian 32-bit integers in ``ids``."""
-    return bpe.encode(docs)
+    """Ids of every document, as little-endian 32-bit integers in ``ids``, and the digest of the bytes they decode to."""
+    return bpe.encode(docs, decoded=True).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
