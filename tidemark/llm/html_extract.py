@@ -36,9 +36,9 @@ _TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)(?:>|\Z)""",
     re.S,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _ENDS = re.compile(r"[.!?…。！？:;]['\"»”’)\]]*$")
 
 
@@ -68,6 +68,9 @@ AGAINST_CLASSES = _names(
     "social related recommended recommendations teaser teasers copyright legal disclaimer form search tagcloud skip"
 )
 _ABOUT = _names("has with no without is")
+HEADINGS = _names("h1 h2 h3 h4 h5 h6")
+#: Inside an article ids are mostly slugs of titles; a section's counts only where it is made of these alone.
+SECTION_IDS = _names("comments comment commentlist disqus replies respond newsletter sidebar related recommended sponsored share form list section area box posts articles")
 #: Weights of the classifier, in log odds for content.
 IN_MAIN, IN_CONTENT_CLASS, AGAINST, OUTSIDE_MAIN = 6.0, 3.0, -9.0, -5.0
 BIAS, PER_WORD, MOST_WORDS, PUNCTUATED, LINKED = 0.2, 0.08, 2.5, 0.8, -4.0
@@ -98,14 +101,22 @@ class Block:
         self.text, self.linked, self.vote, self.parent = text, linked, vote, parent
 
 
+def _hidden(found: dict[str, str]) -> bool:
+    """Invisible by the attribute ``hidden``, to assistive software, or by its own style."""
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(found.get("style", "")))
+
+
 def _element_vote(name: str, attrs: str, above: tuple[float, bool]) -> tuple[float, bool]:
     """(vote, inside an article) of an element from its parent's; the nearest evidence wins."""
     vote, article = above
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
     role = found.get("role", "").lower()
     inside = article and vote > 0
-    by_class = _class_vote(f"{found.get('class', '')} {found.get('id', '')}", inside) if found and name not in ("html", "body") else 0
-    if name in AGAINST_TAGS or role in AGAINST_ROLES or (attrs and _HIDDEN.search(attrs) and name not in ("html", "body")):
+    slug = found.get("id", "")
+    if inside and slug and (name in HEADINGS or (name == "section" and any(p.lower() not in SECTION_IDS for p in _PART.findall(slug)))):
+        slug = ""
+    by_class = _class_vote(f"{found.get('class', '')} {slug}", inside) if found and name not in ("html", "body") else 0
+    if name in AGAINST_TAGS or role in AGAINST_ROLES or (found and _hidden(found) and name not in ("html", "body")):
         return AGAINST, article
     if name == "header" and not article:
         return AGAINST, article
