@@ -36,7 +36,8 @@ from tidemark.llm.components import connected_components
 SIMILAR = 4, 5
 #: Texts in the sample for the order, in how many of them a shingle is common, and how many common ones are kept.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
-_PARITY = 256
+#: Bits of a set's parities.
+_PARITY = 2048
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -73,23 +74,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """For each class of hashes whether the set has an odd number of it."""
+    return np.packbits(np.bincount((found & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes()
+
+
+def may_be_similar(n: np.ndarray, odd: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
+    """False only where sizes or parities rule it out.
+
+    Similar sets differ in at most (den - num) / (den + num) of their summed sizes, parities in no more than that.
+    """
+    num, den = SIMILAR
+    apart = np.bitwise_count(odd ^ other).sum(axis=1, dtype=np.int64)
+    return (num * np.maximum(n, m) <= den * np.minimum(n, m)) & ((den + num) * apart <= (den - num) * (n + m))
+
+
 def cross_links(keys: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect whatever similar pairs of a list are in different components."""
-    num, den = SIMILAR
     n = np.array([len(s) for s in sets])
-    odd = np.stack([np.packbits(np.bincount((s & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1) for s in sets]).view(np.uint64)
+    odd = np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(len(sets), -1)
     label = np.unique(roots, return_inverse=True)[1]
     out = []
     for i in range(len(keys) - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if not len(rest):
-            if (label == label[i]).all():
-                break
-            continue
-        rest = rest[num * np.maximum(n[rest], n[i]) <= den * np.minimum(n[rest], n[i])]
-        # Similar sets differ in at most (den - num) / (den + num) of their summed sizes, parities in no more than that.
-        apart = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64)
-        for j in rest[(den + num) * apart <= (den - num) * (n[rest] + n[i])].tolist():
+        for j in rest[may_be_similar(n[rest], odd[rest], n[i], odd[i])].tolist():
             if label[j] != label[i] and similar(sets[i], sets[j]):
                 out.append((keys[i], keys[j]))
                 label[label == label[j]] = label[i]
@@ -117,10 +125,10 @@ def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], n[order]
 
 
-def posting_lists(distinct: DataFrame) -> DataFrame:
+def posting_lists(keyed: DataFrame) -> DataFrame:
     """(``list``, ``keys``): the different posting lists of two or more sets; from (``key``, ``first``)."""
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select("key", F.explode("first").alias("s")).repartition(parts, "s").sortWithinPartitions("s")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.select("key", F.explode("first").alias("s")).repartition(parts, "s").sortWithinPartitions("s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, s = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -131,7 +139,9 @@ def posting_lists(distinct: DataFrame) -> DataFrame:
             cut = np.flatnonzero(np.diff(s[:full])) + 1
             start, end = np.concatenate(([0], cut)), np.concatenate((cut, [full]))
             more = end - start > 1
-            seen = {np.sort(key[a:b]).tobytes() for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True)}
+            # Copies have one key.
+            found = (np.unique(key[a:b]) for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True))
+            seen = {x.tobytes() for x in found if len(x) > 1}
             key, s = key[full:], s[full:]
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, np.int64) for x in seen], pa.list_(pa.int64()))], names=["keys"])
@@ -153,6 +163,30 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (s for b in batches for s in small(b)):
+        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
+        yield batch.select([0, 1]).filter(pa.array(may_be_similar(n, a, m, b)))
+
+
+def _hopeful(table: pa.Table) -> pa.Table:
+    """Members of lists that may be similar to one in another component; many lists at a time."""
+    table = table.sort_by("list")
+    of, counts, roots = (table.column(c).to_numpy() for c in ("list", "n", "root"))
+    odds = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(of), -1)
+    hope = np.zeros(len(of), bool)
+    cut = np.flatnonzero(np.diff(of)) + 1
+    for start, end in zip([0, *cut.tolist()], [*cut.tolist(), len(of)], strict=True):
+        n, root, odd = counts[start:end], roots[start:end], odds[start:end]
+        for i in range(end - start - 1):
+            rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            near = rest[may_be_similar(n[rest], odd[rest], n[i], odd[i])]
+            hope[start + near] = True
+            hope[start + i] |= len(near) > 0
+    return table.select(["list", "key", "root"]).filter(pa.array(hope))
+
+
 def _across(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
     links = cross_links(table.column("key").to_pylist(), table.column("root").to_pylist(), sets)
@@ -177,37 +211,55 @@ def components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             found = [shingle_set(t, size) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["key", "found"])
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            found = [shingle_set(t, size) for t in texts]
+            cols = [pa.array([set_key(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([parities(f) for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "odd"])
+
+    def of(keys: DataFrame, make, columns: str, name: str) -> DataFrame:
+        """What ``make`` gives for each of the keys, from one text of each."""
+        wanted = one.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("_td_id"), F.col("h").alias("_td_h"))
+        texts = rows.join(wanted, (F.col("h") == F.col("_td_h")) & F.col("id").eqNullSafe(F.col("_td_id")), "left_semi")
+        return stored(texts.select("text").mapInArrow(make, columns).dropDuplicates(["key"]), name)
+
     schema = docs.select(F.col(id_col).alias("id")).schema
     keyed = stored(rows.mapInArrow(first, schema.add("h", "long").add("key", "long").add("first", T.ArrayType(T.LongType()))), "prefixes")
-    distinct = keyed.groupBy("key").agg(F.first("first").alias("first"))
-    lists = stored(posting_lists(distinct), "postings")
+    lists = stored(posting_lists(keyed), "postings")
     members = lists.select("list", F.explode("keys").alias("key"))
-    # The sets of what is in a list, from one text of each.
-    one = keyed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("m"))
-    one = stored(one.select(F.col("m.id").alias("_td_id"), F.col("m.h").alias("_td_h")), "members")
-    texts = rows.join(one, (F.col("h") == F.col("_td_h")) & F.col("id").eqNullSafe(F.col("_td_id")), "left_semi")
-    sets = stored(texts.select("text").mapInArrow(whole, "key long, found binary").dropDuplicates(["key"]), "sets")
-
-    stars = lists.select(F.array_min("keys").alias("dst"), F.explode("keys").alias("src")).where("src != dst").distinct()
-    pairs = stars.join(sets.select(F.col("key").alias("src"), F.col("found").alias("a")), "src").join(sets.select(F.col("key").alias("dst"), F.col("found").alias("b")), "dst")
+    one = keyed.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m"))
+    one = stored(one.select("key", "m.id", "m.h"), "members")
+    sketches = of(members, sketch, "key long, n long, odd binary", "sketches")
+
+    stars = lists.select(F.explode("keys").alias("src"), F.array_min("keys").alias("dst")).where("src != dst").distinct()
+    pairs = stars.join(sketches.select(F.col("key").alias("src"), F.col("n").alias("n"), F.col("odd").alias("a")), "src")
+    pairs = pairs.join(sketches.select(F.col("key").alias("dst"), F.col("n").alias("m"), F.col("odd").alias("b")), "dst")
+    pairs = stored(pairs.select("src", "dst", "n", "a", "m", "b").mapInArrow(_plausible, "src long, dst long"), "pairs")
+    sets = of(pairs.select(F.explode(F.array("src", "dst")).alias("key")), whole, "key long, found binary", "sets")
+    pairs = pairs.join(sets.select(F.col("key").alias("src"), F.col("found").alias("a")), "src").join(sets.select(F.col("key").alias("dst"), F.col("found").alias("b")), "dst")
     links = stored(pairs.select("src", "dst", "a", "b").mapInArrow(_confirm, "src long, dst long"), "links")
     near = connected_components(links)
     labelled = stored(members.join(near, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("root", "key").alias("root")), "labels")
-    open_lists = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("list")
-    across = labelled.join(open_lists, "list").join(sets, "key").groupBy("list").applyInArrow(_across, "src long, dst long")
+    # A list of two has been settled by its star.
+    span = labelled.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
+    open_lists = span.where("a != b AND n > 2").select("list")
+    left = labelled.join(open_lists, "list").join(sketches, "key").groupBy(F.pmod("list", F.lit(256))).applyInArrow(_hopeful, "list long, key long, root long")
+    left = stored(left, "hopeful")
+    across = left.join(of(left, whole, "key long, found binary", "more-sets"), "key").groupBy("list").applyInArrow(_across, "src long, dst long")
     found = connected_components(links.unionByName(stored(across, "more-links")))
     return keyed.join(found, F.col("key") == F.col("node"), "left").select("id", "h", F.coalesce("root", "key").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each component of similar texts the one with the smallest id."""
+    rows = stored(components(docs, id_col, text_col, size), "classes")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")
-    first = components(docs, id_col, text_col, size).groupBy("root").agg(best).select(F.col("m.id").alias("_td_id"), F.col("m.h").alias("_td_h"))
+    first = rows.groupBy("root").agg(best).select(F.col("m.id").alias("_td_id"), F.col("m.h").alias("_td_h"))
+    same = F.col("id").eqNullSafe(F.col("_td_id")) & (F.col("h") == F.col("_td_h"))
+    first = rows.join(first, same).groupBy("_td_id", "_td_h").agg(F.count(F.lit(1)).alias("_td_n"))
     own = docs.withColumn("_td_own", F.xxhash64(text_of(text_col)))
-    kept = stored(own.join(first, (F.col("_td_own") == F.col("_td_h")) & F.col(id_col).eqNullSafe(F.col("_td_id"))).drop("_td_id", "_td_h"), "survivors")
-    # Repeats of a row: only ids and hashes are counted, and few rows have any.
-    again = kept.groupBy(id_col, "_td_own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("_td_id"), F.col("_td_own").alias("_td_h"))
-    same = (F.col("_td_own") == F.col("_td_h")) & F.col(id_col).eqNullSafe(F.col("_td_id"))
-    once = kept.join(again, same, "left_anti")
-    many = kept.join(again, same, "left_semi").dropDuplicates([id_col, "_td_own"])
-    return once.unionByName(many).select(*docs.columns)
+    kept = own.join(stored(first, "first"), (F.col("_td_own") == F.col("_td_h")) & F.col(id_col).eqNullSafe(F.col("_td_id")))
+    once = kept.where("_td_n = 1").select(*docs.columns)
+    # Repeats of a row.
+    many = kept.where("_td_n > 1").dropDuplicates([id_col, "_td_own"]).select(*docs.columns)
+    return once.unionByName(many)
