@@ -4,10 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import SCHEMA
-from tidemark.llm import shingle_join
+from tidemark.llm import shingle_cover
 
 WS = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = {65 + i: 97 + i for i in range(26)}
@@ -69,14 +70,29 @@ def rows(texts):
     return [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [2, 10**6])
-def test_every_pair_at_the_threshold_is_found(spark, monkeypatch, common):
-    monkeypatch.setattr(shingle_join, "COMMON", common)
+@pytest.mark.parametrize("run", [2, 1 << 20])
+def test_every_pair_at_the_threshold_is_found(spark, monkeypatch, run):
+    monkeypatch.setattr(shingle_cover, "RUN", run)
+    monkeypatch.setattr(shingle_cover, "BLOCK", run)
     texts = made()
     kept = stage(spark, spark.createDataFrame(rows(texts), SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots_by_hand(texts)))
 
 
+def test_masks_cover_every_similar_pair():
+    r = np.random.default_rng(0)
+    for _ in range(2000):
+        a = r.integers(0, 1 << 63, size=int(r.integers(1, 300))).astype(np.uint64) * np.uint64(2)
+        gone, new = (int(r.integers(0, len(a) // 8 + 1)) for _ in range(2))
+        b = np.unique(np.concatenate((a[gone:], r.integers(0, 1 << 63, size=new).astype(np.uint64))))
+        a = np.unique(a)
+        if shingle_cover.similar(a, b):
+            low, high = sorted((a, b), key=len)
+            number = shingle_cover.class_of(len(high))
+            assert number - shingle_cover.class_of(len(low)) in (0, 1)
+            assert set(shingle_cover.mask_keys(low, number).tolist()) & set(shingle_cover.mask_keys(high, number).tolist())
+
+
 def test_only_confirmed_links_drop_documents(spark):
     """Fingerprints of half-similar texts are often near; none of these may go."""
     r = random.Random(8)

@@ -193,15 +193,6 @@ def test_links_of_dense_fingerprints(spark):
         assert len(got) == len(values) - len(groups)
 
 
-def test_keep_one(spark, docs, edges, nothing):
-    kept = simhash.keep_one(docs, size=3, radius=2)
-    rows = [(r.doc_id, fingerprint_by_hand(r.text)) for r in docs.collect()]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes_by_hand(rows, 2))) and kept.columns == docs.columns
-    assert simhash.keep_one(nothing).count() == 0
-    ids = [r.doc_id for r in simhash.keep_one(edges, size=3, radius=2).collect()]
-    assert ids.count(None) == 1 and len(ids) == len(set(ids))
-
-
 def test_components(spark):
     r = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(50), r.randrange(50)) for _ in range(30)] + [(7, 7), (500, 501), (501, 500), (None, 3)]

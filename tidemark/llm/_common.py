@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +145,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_PAD = 16
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _step(seed: int) -> np.uint64:
+    return np.uint64(int(mix64(np.array([seed], np.uint64))[0]) | 1)
+
+
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, number of words of each text) of UTF-8 texts.
+
+    Up to 16 bytes of a word enter two bijective mixers whole; longer words
+    go through XXH3.  Nothing here is linear in the bytes, so no pattern of
+    words collides by its structure.
+    """
+    data = b" " * _PAD + b" ".join(texts) + b" " * _PAD
+    start, end = word_bounds(data)
+    size = end - start
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    low = eight[start] & _LOW[np.minimum(size, 8)]
+    high = eight[start + 8] & _LOW[np.clip(size - 8, 0, 8)]
+    out = mix64(low ^ mix64(high + size.astype(np.uint64) * _step(2 * seed + 1)) + _step(2 * seed + 2))
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]], seed)
+    stop = _PAD - 1 + np.cumsum(np.array([len(t) for t in texts], dtype=np.int64) + 1)
+    upto = np.searchsorted(start, stop)
+    return out, np.diff(upto, prepend=0)
+
+
+def run_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A hash of each run of ``size`` word hashes, by doubling: every step mixes, so order and place count."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    n = len(words) - size + 1
+    out, at, length, part = None, 0, 1, words
+    while True:
+        if size & length:
+            out = part[at : at + n] if out is None else mix64(out * _step(seed + 77) + part[at : at + n])
+            at += length
+        if 2 * length > size:
+            return out
+        part = mix64(part[:-length] * _step(seed + length) + part[length:])
+        length *= 2

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shingle_cover
 from tidemark.llm._common import release, small, stored, text_of
 from tidemark.llm.components import connected_components
 
@@ -156,19 +157,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return fps.join(named, "fp").select(F.col("_td_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each class.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component of texts whose shingles are similar by 0.8 or more.
 
-    One row stays of all with one id, and one of all with a null id, also where
-    their texts differ; ``shingle_join.keep_one`` chooses by component instead.
+    No radius over 64 majority bits reaches that similarity, so the covering
+    masks are laid over the shingle sets themselves; see ``shingle_cover``.
     """
-    ids = classes(docs, id_col, text_col, size, radius)
-    first = ids.groupBy("component_id").agg(F.count(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), 1)).alias("_td_n"))
-    first = first.select(F.col("component_id").alias("_td_keep"), "_td_n")
-    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("_td_keep")))
-    one = kept.where("_td_n = 1").select(*docs.columns)
-    many = kept.where("_td_n > 1").select(*docs.columns).dropDuplicates([id_col])
-    return one.unionByName(many)
+    return shingle_cover.keep_one(docs, id_col, text_col, size)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
