@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, quality_rules, shingle_join
+from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from tidemark.llm._common import stored
 
-#: Near-duplicates: shingles of five words; a similarity of 0.8 or more (``shingle_join.SIMILAR``).
+#: Near-duplicates: shingles of five words; a similarity of 0.8 or more (``shingle_cover.SIMILAR``).
 SHINGLE_WORDS = 5
 #: A line in this many documents stays only where it occurs first.
 REPEATED_IN = 10
@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return shingle_join.keep_one(docs, size=SHINGLE_WORDS)
+    return simhash.keep_one(docs, size=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
