@@ -223,8 +223,9 @@ def passages_by_hand(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("length", [50, 12, 3, 1])
-def test_substring_dedup(spark, docs, edges, length):
+@pytest.mark.parametrize("length, hot", [(50, 2048), (50, 1), (12, 2048), (12, 3), (3, 2048), (1, 2048), (1, 1)])
+def test_substring_dedup(spark, monkeypatch, docs, edges, length, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     for df in (docs, clash(edges, "factors", "n_words")):
         rows = [(r.doc_id, r.text) for r in df.collect()]
         out = substring_dedup.drop_repeated_passages(df, length=length)
@@ -234,6 +235,35 @@ def test_substring_dedup(spark, docs, edges, length):
             assert all(f.source < (r.doc_id if r.doc_id is not None else 1 << 63) and f.words >= length for f in r.factors)
 
 
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Thue-Morse words: structured hashes take a word of 1,024 letters for its complement."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(49)]
+    texts = [" ".join([*around[:20], w, *around[20:]]) for w in (morse, other, other)]
+    out = substring_dedup.drop_repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.n_removed for r in out.orderBy("doc_id").collect()] == [0, 0, 50]
+
+
+def test_very_long_and_repetitive_texts(spark):
+    r = random.Random(9)
+    long = " ".join(f"v{r.randrange(40)}" for _ in range(30000))
+    rows = [(1, "a b " * 4000), (2, "b a " * 300 + "c " * 60), (3, f"x {long}"), (4, f"{long[:60000]} y z {long[60000:]}"), (5, "c " * 50)]
+    out = substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()) == passages_by_hand(rows, 50)
+
+
+def test_window_ranks_name_windows():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, size=400)
+    for length in (1, 2, 3, 5, 8, 50):
+        ranks = substring_dedup.window_ranks(words, length)
+        kinds = {}
+        for i, k in enumerate(ranks.tolist()):
+            assert kinds.setdefault(k, tuple(words[i : i + length])) == tuple(words[i : i + length])
+        assert len(kinds) == len({tuple(words[i : i + length]) for i in range(len(words) - length + 1)})
+
+
 def test_substring_dedup_empty(nothing):
     assert substring_dedup.drop_repeated_passages(nothing).count() == 0
 
