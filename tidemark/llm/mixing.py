@@ -6,6 +6,11 @@ source's documents stand in a shuffled order, one epoch after the other, and
 each copy has a virtual finish time: the words of its source up to and with
 it, divided by the source's target.  The copies of all sources are
 range-sorted by that time and the mix is cut where the total budget is used.
+``mix`` leaves its rows in that order, and can name the time in a column.
+
+A source's last epoch ends inside its target.  The shuffled order goes first
+there as far as it fits; what is left is filled by the largest documents that
+still fit, ``FILL`` of them, so a source misses its target by a few words.
 
 Only (row, source, size) are sorted, never texts.  Running sums come from
 range partitions and one total a partition and source, so a source that
@@ -13,8 +18,9 @@ holds a third of all rows is spread like any other.
 
 Defined results: null or blank texts have size 0 and are taken 0 words; null
 sources form one source after all others; rows that repeat are documents of
-their own, told apart by a number within (id, text); ties in the shuffle are
-broken by that number; an empty table gives no rows.
+their own and interchangeable; ties in the shuffle are broken by id and row;
+an empty table gives no rows; other columns are kept, whatever their names;
+a text may be as long as a row can be.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from tidemark.llm._common import stored, text_of, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
+#: Documents that fill the rest of a source's target.
+FILL = 3
 
 
 def _running(df: DataFrame, by: list[Column], values: dict[str, str], group: Column) -> DataFrame:
@@ -68,6 +76,23 @@ def source_targets(sizes: DataFrame, budget: float, weights: tuple[float, ...] =
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _fill(left: DataFrame, spent: DataFrame) -> DataFrame:
+    """(``source``, ``picked``: rows in order) from the rows ``left`` and the words ``spent`` of each source's gap.
+
+    Each step takes a source's largest row that still fits.
+    """
+    state = left.groupBy("source").agg(F.first("gap").alias("gap")).join(spent.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    state = state.select(F.col("source").alias("_s"), (F.col("gap") - F.coalesce("spent", F.lit(0))).alias("rest"), F.array().cast("array<long>").alias("picked"))
+    for _ in range(FILL):
+        state = stored(state, "mix-fill")
+        free = left.select("source", "size", "r", "id", "rid").join(state, F.col("source").eqNullSafe(F.col("_s")))
+        best = free.where((F.col("size") <= F.col("rest")) & ~F.array_contains("picked", F.col("rid"))).groupBy("source").agg(F.max(F.struct("size", "r", "id", "rid")).alias("m"))
+        joined = state.join(best, F.col("source").eqNullSafe(F.col("_s")), "left")
+        picked = F.when(F.col("m").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array("m.rid")))
+        state = joined.select("_s", (F.col("rest") - F.coalesce("m.size", F.lit(0))).alias("rest"), picked.alias("picked"))
+    return stored(state, "mix-filled").select(F.posexplode("picked").alias("place", "rid"))
+
+
 def plan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -77,63 +102,75 @@ def plan(
     max_epochs: int = 3,
     seed: int = 7,
     share: float = 1.0,
-    fit_rounds: int = 4,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``h`` (of the text), ``k``, ``source``, ``size``, ``source_size``, ``target``, ``copies``.
+    """One row per row of ``docs``: ``id``, ``h`` (of the text), ``source``, ``size``, ``source_size``, ``target``, ``copies``.
 
-    ``share`` scales the budget against the size of all documents.  (id, h,
-    source, k) is a row's identity; equal rows differ in ``k``.
-
-    The last epoch of a source is cut somewhere.  There a long document may
-    not fit though shorter ones behind it do, so the epoch's shuffled order
-    is settled in ``fit_rounds`` rounds: whatever fits goes first.
+    ``share`` scales the budget against the size of all documents.  Copy ``e``
+    (from 0) of a row has the virtual finish time ``(cum + e * source_size) / target``;
+    ``cum`` is null for rows that are never queued.  ``r`` is the shuffle.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size")
-    )
-    same = Window.partitionBy("id", "h", "source").orderBy("size")
-    rows = rows.withColumn("k", F.row_number().over(same)).withColumn("rid", F.monotonically_increasing_id())
-    rows = stored(rows.withColumn("r", F.xxhash64(F.lit(seed), "id", "h", "k")), "mix-rows")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"))
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("r", F.xxhash64(F.lit(seed), "id", "h")), "mix-rows")
     sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     budget = share * sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     targets = stored(source_targets(sizes, budget, weights, max_epochs), "mix-targets")
     rows = rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     queued = rows.where("size > 0 AND target > 0").withColumn("full", F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size"))).cast("int"))
-    left = stored(queued.withColumn("gap", F.col("target") - F.col("full") * F.col("source_size")), "mix-queue")
-    order, placed = [F.col("source"), F.col("r"), F.col("id"), F.col("k")], None
-    for turn in range(fit_rounds):
-        tried = _running(left.where("size <= gap"), order, {"size": "c"}, F.col("source"))
-        fit = stored(tried.where("c <= gap").select(*left.columns, F.lit(turn).alias("turn")), "mix-fit")
-        placed = fit if placed is None else placed.unionByName(fit)
-        spent = fit.groupBy("source").agg(F.sum("size").alias("spent")).withColumnRenamed("source", "_s")
-        left = left.join(fit.select("rid"), "rid", "left_anti").join(spent, F.col("source").eqNullSafe(F.col("_s")), "left")
-        left = stored(left.withColumn("gap", F.col("gap") - F.coalesce("spent", F.lit(0))).drop("_s", "spent"), "mix-left")
-    settled = placed.unionByName(left.withColumn("turn", F.lit(fit_rounds)))
-    once = _running(settled, [F.col("source"), F.col("turn"), *order[1:]], {"size": "cum"}, F.col("source"))
+    queued = stored(queued.withColumn("gap", F.col("target") - F.col("full") * F.col("source_size")), "mix-queue")
+    order = [F.col("source"), F.col("r"), F.col("id"), F.col("rid")]
+    tried = _running(queued.where("size <= gap"), order, {"size": "c"}, F.col("source"))
+    fit = stored(tried.where("c <= gap").select("rid", "source", "size"), "mix-fit")
+    spent = fit.groupBy("source").agg(F.sum("size").alias("spent"))
+    left = queued.where("gap > 0 AND size <= gap").join(fit.select("rid"), "rid", "left_anti")
+    turns = fit.select("rid", F.lit(-1).alias("turn")).unionByName(_fill(left, spent).select("rid", F.col("place").alias("turn")))
+    settled = queued.join(turns, "rid", "left").withColumn("turn", F.coalesce("turn", F.lit(FILL)))
+    once = stored(_running(settled, [F.col("source"), F.col("turn"), *order[1:]], {"size": "cum"}, F.col("source")), "mix-once")
     copies = once.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.col("full"), F.lit(max_epochs - 1)))))
     finish = (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")
-    copies = copies.select("rid", "source", "r", "id", "k", "size", finish.alias("finish"))
-    queue = _running(copies, [F.col("finish"), *order], {"size": "used"}, F.lit(0))
+    queue = _running(copies.select("rid", "source", "r", "id", "size", finish.alias("finish")), [F.col("finish"), *order], {"size": "used"}, F.lit(0))
     taken = queue.where(F.col("used") <= F.lit(budget)).groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    return rows.join(taken, "rid", "left").select("id", "h", "k", "source", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
+    found = rows.join(once.select("rid", "cum"), "rid", "left").join(taken, "rid", "left")
+    return found.select("id", "h", "source", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"), "cum", "r")
+
+
+_IDENTITY = ["_td_i", "_td_h", "_td_s"]
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number ``_td_k`` of each row among those of its identity; a frequent identity is spread."""
+    by = [*(F.col(c) for c in _IDENTITY), F.col("_td_row")]
+    rows = df.withColumn("_td_row", F.monotonically_increasing_id()).withColumn("_td_one", F.lit(1))
+    return _running(rows, by, {"_td_one": "_td_k"}, F.struct(*_IDENTITY)).drop("_td_row", "_td_one")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken."""
-    # Equal rows are alike, so their copies may be counted together.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position: str | None = None, **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it is taken, sorted by virtual finish time (named ``position`` if given)."""
     wanted = plan(docs, id_col, text_col, source_col, **options)
-    wanted = wanted.groupBy("id", "h", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
-    wanted = wanted.where("c > 0").select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.col("source").alias("_s"), "c", "n")
-    hashed = docs.withColumn("_td_h", F.xxhash64(text_of(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_td_h") == F.col("_h")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s"))
-    found = hashed.join(wanted, match)
-    alike = Window.partitionBy(id_col, "_td_h", source_col).orderBy(F.lit(0))
-    single = found.where("n = 1").withColumn("_td_c", F.col("c"))
-    # Of n equal rows with c copies in all, each gives c / n, the first ones one more.
-    repeated = found.where("n > 1").withColumn("_td_c", F.floor(F.col("c") / F.col("n")) + (F.row_number().over(alike) <= F.col("c") % F.col("n")).cast("long"))
-    both = single.unionByName(repeated).where("_td_c > 0")
-    return both.withColumn("_td_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_td_c")))).select(*docs.columns)
+    wanted = wanted.select(F.col("id").alias("_td_i"), F.col("h").alias("_td_h"), F.col("source").alias("_td_s"), "copies", "cum", "source_size", "target")
+    wanted = stored(wanted.withColumn("_td_times", F.expr("transform(sequence(0, greatest(copies - 1, 0)), e -> (cum + e * source_size) / target)")), "mix-wanted")
+    wanted = wanted.select(*_IDENTITY, "copies", "_td_times")
+    groups = wanted.groupBy(*_IDENTITY).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c"), F.first("_td_times").alias("_td_times"))
+    groups = stored(groups.where("c > 0"), "mix-groups")
+    rows = docs.withColumns({"_td_i": F.col(id_col), "_td_h": F.xxhash64(text_of(text_col)), "_td_s": F.col(source_col).cast("string")})
+
+    def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        other = right.select(*(F.col(c).alias(f"_r{c}") for c in on), *(c for c in right.columns if c not in on))
+        same = F.lit(True)
+        for c in on:
+            same &= F.col(c).eqNullSafe(F.col(f"_r{c}"))
+        return left.join(other, same, how).select(*left.columns, *([] if how == "left_semi" else (c for c in right.columns if c not in on)))
+
+    found = met(rows, groups.where("n = 1").select(*_IDENTITY, "_td_times"), _IDENTITY)
+    several = groups.where("n > 1").select(*_IDENTITY)
+    if several.limit(1).count():
+        # Equal rows are interchangeable: they get their copies by number.
+        each = _numbered(met(wanted, several, _IDENTITY, "left_semi")).where("copies > 0").drop("copies")
+        found = found.unionByName(met(_numbered(met(rows, several, _IDENTITY, "left_semi")), each, [*_IDENTITY, "_td_k"]).drop("_td_k"))
+    name = position or "_td_finish"
+    out = found.select(*docs.columns, F.explode("_td_times").alias(name)).repartitionByRange(F.col(name)).sortWithinPartitions(name)
+    return out if position else out.drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

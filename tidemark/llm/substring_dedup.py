@@ -201,7 +201,8 @@ def _phrase_factors(phrases: DataFrame, length: int) -> DataFrame:
     """(seed, hi, lo, ``factors``) of the distinct phrases (seed, hi, lo, ``source``, ``phrase``)."""
     parts = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_seed = stored(phrases.groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("phrase")).alias("b")), "seed-sizes")
-    total = per_seed.where(F.col("c") <= HOT).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    fits = F.col("c") <= HOT
+    total, n_hot = per_seed.agg(F.coalesce(F.sum(F.when(fits, F.col("b"))), F.lit(0)), F.count(F.when(~fits, 1))).first()
     blocks = max(parts, total // BLOCK_BYTES + 1)
     sized = phrases.join(per_seed.select("seed", "c"), "seed")
 
@@ -209,6 +210,9 @@ def _phrase_factors(phrases: DataFrame, length: int) -> DataFrame:
     cold = cold.repartition(parts, "block").sortWithinPartitions("block", "source", "hi", "lo")
     parsed = cold.mapInArrow(lambda batches: _parsed(batches, length), f"seed long, hi long, lo long, factors {FACTORS}")
 
+    if not n_hot:
+        return parsed
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in small(b)):
             rows = []
