@@ -105,6 +105,28 @@ def test_bpe_equals_the_library(spark, sf):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_chunks_shared_by_tasks_and_other_patterns(spark, monkeypatch):
+    import public_tokenizers
+
+    texts = [f"the quick brown fox {i} jumped, over naïve 日本 dogs {i % 7}'s" for i in range(90)] + ODD + ["z" * 5000 + " " + "ab" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    column = df.select("text")
+    table = bpe.shared_chunks(column, bpe.default_path(), public_tokenizers.PATTERN).value
+    assert b" quick" in table and all(len(k) <= bpe.MOST_BYTES for k in table)
+    few = bpe.shared_chunks(column, bpe.default_path(), public_tokenizers.PATTERN, most=40)
+    assert 0 < len(few.value) <= 40 and bpe.shared_chunks(column, bpe.default_path(), public_tokenizers.PATTERN, most=0) is None
+    want = tiktoken_ids(texts)
+    for most, seen in ((1 << 18, 400_000), (10, 3)):
+        monkeypatch.setattr(bpe, "SHARED", most)
+        monkeypatch.setattr(bpe, "SEEN", seen)
+        assert [bpe.unpack(r.ids).tolist() for r in bpe.encode(df).orderBy("doc_id").collect()] == want
+    import tiktoken
+
+    odd = r" ?[^ ]+ [^ ]+| |[^ ]+"
+    enc = tiktoken.Encoding("odd", pat_str=odd, mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+    assert [bpe.unpack(r.ids).tolist() for r in bpe.encode(df, pattern=odd).orderBy("doc_id").collect()] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_merge_order_with_a_lower_rank_after_a_merge():
     tokens = [bytes([i]) for i in range(256)] + [b"abc", b"bc", b"aa", b"aaa", b"abab", b"ab", b"abcab"]
     replay = bpe.MergeReplay({t: i for i, t in enumerate(tokens)})

@@ -1,22 +1,33 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A block of the corpus is reduced to its distinct new pieces (matches of the
-pattern).  All their bytes lie in one linked sequence; an inverted index
-leads from the token a pair of neighbours would merge into to the positions
-of such pairs.  Merges are replayed in rank order, each over all its
-positions at once, and only the two touched neighbours of a merge enter the
-index again.  Every text is then put together from its pieces.
+1. *Distinct chunks.*  Texts are runs of chunks that no piece (match of the
+   pattern) crosses; every task names its distinct ones, and those that two or
+   more tasks name are the corpus' shared chunks.
+2. *Replay.*  Shared chunks are dealt out, and each is encoded once: all bytes
+   of a part's distinct pieces lie in one linked sequence, and an inverted
+   index leads from the token a pair of neighbours would merge into to the
+   positions of such pairs.  Merges are replayed in rank order, each over all
+   its positions at once, and only the two touched neighbours of a merge
+   enter the index again.
+3. *Back.*  The most widely shared ``SHARED`` chunks (of at most ``MOST_BYTES``
+   each, so some tens of megabytes) are broadcast with their ids, and every
+   text is put together from its chunks.  What is rarer is replayed in
+   the block it occurs in, again from an index over the block's pieces.
+
+Where a pattern is not the one whose chunks are known, texts are not cut.
 
 Ids leave as little-endian uint32 in a binary column; ``unpack`` reads them.
 
 Defined results: null or empty text has no ids and decodes to nothing; ids
-are per row, so repeated rows and null ids need no rule; columns named as
-outputs are replaced.
+are per row, so repeated rows, ties and null ids need no rule; columns named
+as outputs are replaced, others kept; an empty table gives no rows; a text
+may be as long as a row can be.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -29,10 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import held, small, text_of
-from tidemark.llm.chunks import ChunkEncoder
+from tidemark.llm._common import held, release, small, stored, text_of
+from tidemark.llm.chunks import ChunkEncoder, distinct_chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Chunks that are broadcast at most, and their bytes.
+SHARED, MOST_BYTES = 1 << 18, 32
+#: Chunks a task remembers to name each once.
+SEEN = 400_000
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -156,36 +171,115 @@ class MergeReplay:
         return out
 
     def _alone(self, piece: bytes) -> list[int]:
-        """One piece, merge by merge."""
-        ids = [int(self.single[b]) for b in piece]
-        while len(ids) > 1:
-            best = min((r, i) for i in range(len(ids) - 1) if (r := self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[i + 1]], 1 << 40)) >= 0)
-            if best[0] == 1 << 40:
-                break
-            ids[best[1] : best[1] + 2] = [best[0]]
-        return ids
+        """One piece, merge by merge: a heap of (rank, place) over a linked list."""
+        ids: list[int] = [int(self.single[b]) for b in piece]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(ids) and (r := self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[j]])) is not None:
+                heappush(heap, (r, i, ids[i], ids[j]))
+
+        for i in range(len(ids) - 1):
+            offer(i)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= len(ids) or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in ids if x >= 0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class BlockEncoder:
-    """Packed ids of texts, piece by piece through merge replay."""
+    """Packed ids of texts: shared chunks by table, the rest piece by piece through merge replay."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, shared: dict[bytes, bytes] | None = None) -> None:
         self.replay = MergeReplay(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.chunks = ChunkEncoder(self._encode, capacity=400_000)
+        self.chunks = ChunkEncoder(self.encode_chunks, capacity=400_000, shared=shared, cut=_is_known(pattern))
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         split = [self.pattern.findall(c.decode()) for c in chunks]
         pieces = list(set(chain.from_iterable(split)))
         packed = dict(zip(pieces, self.replay.packed([p.encode() for p in pieces]), strict=True))
         return [packed[s[0]] if len(s) == 1 else b"".join([packed[p] for p in s]) for s in split]
 
 
-def _encoder(path: str, pattern: str) -> BlockEncoder:
-    return held(("bpe", path, pattern), lambda: BlockEncoder(path, pattern))
+def _is_known(pattern: str) -> bool:
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
+def _encoder(path: str, pattern: str, shared=None) -> BlockEncoder:
+    table = shared.value if shared is not None else None
+    return held(("bpe", path, pattern, shared.id if shared is not None else 0), lambda: BlockEncoder(path, pattern, table))
+
+
+class _Shared:
+    """A broadcast table and a name that tells it from others."""
+
+    def __init__(self, broadcast, name: int) -> None:
+        self.broadcast, self.id = broadcast, name
+
+    @property
+    def value(self) -> dict[bytes, bytes]:
+        return self.broadcast.value
+
+
+def shared_chunks(texts: DataFrame, path: str, pattern: str, most: int | None = None) -> _Shared | None:
+    """Ids of the chunks that several tasks meet, each replayed once; ``texts`` has one column of text.
+
+    The number of tasks that name a chunk ranks them.  At most ``most`` go out: the
+    least rank that keeps within it is read from a count of chunks per rank.
+    """
+    if not _is_known(pattern):
+        return None
+    spark, most = texts.sparkSession, SHARED if most is None else most
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in small(batch, 1000):
+                new = distinct_chunks(part.column(0).cast(pa.binary()).to_pylist(), MOST_BYTES) - seen
+                if len(seen) + len(new) > SEEN:
+                    seen = set()
+                seen |= new
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary())], names=["chunk"])
+
+    named = texts.mapInArrow(name, "chunk binary").groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = stored(named, "chunks")
+    total, least = 0, None
+    # One row for each number of tasks.
+    for row in named.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        total += row.c
+        if total > most:
+            break
+        least = row.n
+    if least is None:
+        return None
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, pattern)
+        for batch in batches:
+            ids = encoder.encode_chunks(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["chunk", "ids"])
+
+    chosen = named.where(F.col("n") >= least).select("chunk").repartition(max(1, min(parts, total // 20_000 + 1)))
+    table = chosen.mapInArrow(replay, "chunk binary, ids binary").toArrow()
+    return _Shared(spark.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))), uuid.uuid4().int)
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -200,9 +294,10 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     added = ["ids", "n_tokens", *["decoded"] * decoded]
     keep = [c for c in docs.columns if c != text_col and c not in added]
     source = docs.select(*keep, text_of(text_col).alias("_td_text"))
+    shared = shared_chunks(source.select("_td_text"), path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, pattern)
+        enc = _encoder(path, pattern, shared)
         for batch in batches:
             for part in small(batch, 1000):
                 packed = list(enc.chunks(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()))

@@ -74,13 +74,17 @@ def alike(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
 class ChunkEncoder:
     """Packed ids (little-endian uint32) of UTF-8 texts through a memo of chunks.
 
-    encode: packed ids of each of a list of chunks.  The memo is emptied
-    beyond ``capacity`` chunks; that costs time, never changes a result.
+    encode: packed ids of each of a list of chunks.  The memo starts from
+    ``shared`` and goes back to it beyond ``capacity`` more; that costs time,
+    never changes a result.  Without ``cut`` a text is one chunk.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], capacity: int = 800_000, block_bytes: int = 1 << 21) -> None:
-        self.encode, self.capacity, self.block_bytes = encode, capacity, block_bytes
-        self.memo: dict[bytes, bytes] = {}
+    def __init__(
+        self, encode: Callable[[list[bytes]], list[bytes]], capacity: int = 800_000, block_bytes: int = 1 << 21, shared: dict[bytes, bytes] | None = None, cut: bool = True
+    ) -> None:
+        self.encode, self.block_bytes, self.shared, self.cut = encode, block_bytes, shared or {}, cut
+        self.capacity = capacity + len(self.shared)
+        self.memo: dict[bytes, bytes] = dict(self.shared)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         block: list[bytes] = []
@@ -100,7 +104,7 @@ class ChunkEncoder:
         missing = [k for k, x in enumerate(found) if x is None]
         if missing:
             if len(memo) > self.capacity:
-                memo.clear()
+                memo = self.memo = dict(self.shared)
             new = [chunks[k] for k in missing]
             packed = self.encode(new)
             memo.update(zip(new, packed, strict=True))
@@ -109,20 +113,11 @@ class ChunkEncoder:
         return found
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
-        data = _BETWEEN * _PAD + _BETWEEN.join(texts) + _BETWEEN * _PAD
-        raw = np.frombuffer(data, dtype=np.uint8)
-        length = np.array([len(t) for t in texts], dtype=np.int64)
-        last = _PAD - 1 + np.cumsum(length + 1)
-        first = last - length
-        spaces, newlines = cuts(raw)
-        start = np.concatenate((first[length > 0], spaces, newlines, newlines + 1))
-        start.sort()
-        end = np.append(start[1:], 0)
-        owner = np.searchsorted(last, start)
+        if not self.cut:
+            return self.encode(texts)
+        data, start, end, owner = _slices(texts)
         if not len(start):
             return [b""] * len(texts)
-        tail = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-        end[tail] = last[owner[tail]]
         one, which = alike(data, start, end)
         found = self._ids([data[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(found), dtype="<u4")
@@ -134,3 +129,32 @@ class ChunkEncoder:
         ids = flat[picked].tobytes()
         total = np.cumsum(np.bincount(owner, weights=n, minlength=len(texts))).astype(np.int64).tolist()
         return [ids[4 * s : 4 * e] for s, e in zip([0, *total[:-1]], total, strict=True)]
+
+
+def _slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(padded bytes, starts, ends, owners) of the chunks of texts, in order."""
+    data = _BETWEEN * _PAD + _BETWEEN.join(texts) + _BETWEEN * _PAD
+    raw = np.frombuffer(data, dtype=np.uint8)
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    last = _PAD - 1 + np.cumsum(length + 1)
+    first = last - length
+    spaces, newlines = cuts(raw)
+    start = np.concatenate((first[length > 0], spaces, newlines, newlines + 1))
+    start.sort()
+    owner = np.searchsorted(last, start)
+    end = np.append(start[1:], 0)
+    if len(start):
+        tail = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        end[tail] = last[owner[tail]]
+    return data, start, end, owner
+
+
+def distinct_chunks(texts: list[bytes], most_bytes: int) -> set[bytes]:
+    """The distinct chunks of texts that are no longer than ``most_bytes``."""
+    data, start, end, _ = _slices(texts)
+    short = end - start <= most_bytes
+    start, end = start[short], end[short]
+    if not len(start):
+        return set()
+    one, _ = alike(data, start, end)
+    return {data[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)}
