@@ -232,7 +232,38 @@ def test_neighbours_recall_and_edges(spark, scale):
     assert found[1000] == want[1000]  # copies: the smallest ids
 
 
+def test_probes_select_fewer_of_more(spark):
+    """Recall on unstructured vectors, and the share of all pairs that are scored."""
+    rng = np.random.default_rng(6)
+    share = []
+    for n in (1000, 8000):
+        x = rng.normal(size=(n, 32)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()
+        q = np.arange(0, n, 20)
+        score = x[q].astype(float) @ x.T.astype(float)
+        score[np.arange(len(q)), q] = -np.inf
+        want = {int(i): set(np.argsort(-s)[:10].tolist()) for i, s in zip(q, score, strict=True)}
+        assert len(got) == 10 * len(q) and sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
+        space = neighbours.Space(32, 1.0, False, neighbours.TABLES, neighbours.SEED)
+        rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 20 == 0).alias("q"))
+        probes, rot, seen = neighbours.fitted_probes(rows, space, 10), space.rotations(), 0
+        scored = np.zeros((len(q), n), bool)
+        for t in range(space.tables):
+            first, second = rot.probes(x[q], t, probes)
+            i, j = rot.nearest(x, t)
+            for k in range(len(q)):
+                scored[k] |= np.isin(i * 64 + j, first[k] * 64 + second[k])
+        share.append(scored.mean())
+    assert share[1] < 0.6 * share[0]
+
+
 def test_neighbours_of_few_and_none(spark):
+    thirds = [(i, [1 / 3 + i * 1e-12, 0.1, -0.7 - i * 1e-13]) for i in range(30)]
+    df = spark.createDataFrame(thirds, "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(df, F.col("vec_id") == 3, k=4).collect():
+        assert r.score == pytest.approx(sum(a * b for a, b in zip(thirds[3][1], thirds[r.vec_id][1], strict=True)), rel=1e-15)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, -1.0)]
