@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import clash
-from tidemark.llm import bpe, chunks, html_extract, mixing, neighbours, secret_scan, token_files
+from tidemark.llm import bpe, chunks, html_extract, mixing, neighbours, page_model, secret_scan, token_files
 from tidemark.llm._common import scratch, word_bounds
 
 ODD = [
@@ -34,6 +34,12 @@ def page(body, head=""):
         (page("<header><p>Site name and slogan.</p></header><article><header><h1>Title</h1></header><ul><li>i<li>j</ul></article>"), "Title\ni\nj"),
         (page("<article><div class='article-header'><h1>Title</h1></div><p>x</p><div class=post-footer>Share this</div></article>"), "Title\nx"),
         (page("<div id=content><p>Some words of a text that stands alone.</p><div class='share-buttons'>Share</div></div><div class=sidebar-widget><p>Beside the text, a whole sentence.</p></div>"), "Some words of a text that stands alone."),
+        ("<article class=comment-free><p>Kept.</p></article>", "Kept."), ("<article><p>a</p><div class=social-science>b</div><p class=main-menu-history>c</p></article>", "a\nb\nc"),
+        ("<article><p>a</p><p>An odd <button>one.</p><p>More of it.</p><p>x <select>y</p></article>", "a\nAn odd one.\nMore of it.\nx y"),
+        ("<article><p>Press <button>Go</button> now <object><p>no</p></object>.</p></article>", "Press now ."), ("<article><p>If <math><mi>x</mi><annotation>tex</annotation></math> is.</p></article>", "If x is."),
+        ("<article><p>a<svg><svg><text>no</text></svg><text>no</text></svg>b</p></article>", "ab"), ("<article><p>Long text here.</p><div><p>Sign up for our newsletter to get the latest.</p><form><input></form></div><p>Go on.</p></article>", "Long text here.\nGo on."),
+        ("<article><h1>Newsletter history</h1><p>Of cookies.</p><p>Subscribe and sign up, said they</p></article>", "Newsletter history\nOf cookies.\nSubscribe and sign up, said they"),
+        ("<div>Top of the site, and its motto.</div><article><p>Sh is.</p><p>The</p></article><div>A whole sentence that stands beside, of some length.</div>", "Sh is.\nThe"),
         (page('<article><p title="a > b">q &lt; r &#233; &eacute;</p></article>'), "q < r é é"),
     ],
 )
@@ -56,6 +62,32 @@ def test_min_cut_is_minimal():
             assert cost(html_extract._flow(odds, ties)) == pytest.approx(best)
 
 
+def test_the_cut_turns_labels_for_the_better():
+    model = page_model.fitted()
+    alone = html_extract.Model(model.weights, model.most, 0.0, 0.0)
+    pages = page_model.labelled(150, seed=11, layouts=(2,))
+    turned = sum(int((np.array(model.labels(p)) != (np.array(model.odds(p)) > 0)).sum()) for p, _ in pages)
+    assert turned > 20 and page_model.accuracy(model, pages) > page_model.accuracy(alone, pages) + 0.005
+    for layouts, least in (((0,), 0.99), ((1,), 0.98), ((2,), 0.94), ((3,), 0.99), ((4,), 0.99)):
+        assert page_model.accuracy(model, page_model.labelled(100, seed=12, layouts=layouts)) > least
+    again = page_model.fit_weights(page_model.labelled(page_model.TRAINING, seed=1))
+    assert (again == model.weights).all()
+
+
+def test_deep_and_very_long_pages():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        deep = "<div>" * n + "<p>In the middle of it all." + "</div>" * n
+        start = time.perf_counter()
+        assert html_extract.extract(f"<article>{deep}</article>") == "In the middle of it all."
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.2
+    long = "".join(f"<p>Paragraph {i} of many.</p>" for i in range(20000))
+    assert html_extract.extract(f"<nav><a>x</a></nav><main>{long}</main>").count("\n") == 19999
+
+
 def test_main_text_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = {r.page_id: r.html for r in pages.collect()}
@@ -65,6 +97,7 @@ def test_main_text_of_pages(spark, sf):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html_extract.main_text(clash(odd, "text", "n_chars")).collect()] == [("", 0)] * 3
+    assert html_extract.main_text(odd.limit(0)).count() == 0
 
 
 def test_cuts_join_to_the_text():
