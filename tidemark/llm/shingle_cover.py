@@ -13,8 +13,8 @@ more; ``m`` is chosen so that this is rare.  Sizes of one class are within
 5/4, so a set enters the tables of its own class and of the next.
 
 Only distinct sets meet.  The members of a bucket are first compared with its
-smallest one; buckets whose members are then still in different components
-compare blocks of them by exact bounds from sizes and parities.  Every link
+smallest one, by exact bounds from sizes and parities; buckets whose members are
+then still in different components compare blocks of them so.  Every link
 is confirmed by the exact similarity of the two sets (of 64-bit hashes).
 
 Defined results: letters A-Z count as a-z; fewer words than a shingle has are
@@ -118,16 +118,16 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes()
 
 
-def may_be_similar(n: np.ndarray, odd: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
-    """False only where sizes or parities rule it out.
+def may_be_similar(n: np.ndarray, odd: np.ndarray, m, other: np.ndarray) -> np.ndarray:
+    """False only where sizes or parities rule it out; ``m`` and ``other`` are of one set or one for each row.
 
     Similar sets differ in at most (den - num) / (den + num) of their summed sizes, parities in no more than that.
     """
     num, den = SIMILAR
     out = num * np.maximum(n, m) <= den * np.minimum(n, m)
     at = np.flatnonzero(out)
-    apart = np.bitwise_count(odd[at] ^ other).sum(axis=1, dtype=np.int64)
-    out[at] = (den + num) * apart <= (den - num) * (n[at] + m)
+    apart = np.bitwise_count(odd[at] ^ (other if other.ndim == 1 else other[at])).sum(axis=1, dtype=np.int64)
+    out[at] = (den + num) * apart <= (den - num) * (n + m)[at]
     return out
 
 
@@ -191,6 +191,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "low"])
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that sizes and parities do not rule out."""
+    for batch in (s for b in batches for s in small(b, 2000)):
+        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
+        yield batch.select([0, 1]).filter(pa.array(may_be_similar(n, a, m, b)))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (s for b in batches for s in small(b)):
         a, b = (batch.column(k).to_pylist() for k in (2, 3))
@@ -225,8 +233,10 @@ def _hopeful(table: pa.Table) -> pa.Table:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``src``, ``dst``) whose sets are similar."""
-    one = pairs.join(sets.select(F.col("key").alias("src"), F.col("found").alias("a")), "src")
-    both = one.join(sets.select(F.col("key").alias("dst"), F.col("found").alias("b")), "dst")
+    keys = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    wanted = stored(sets.join(keys, "key", "left_semi"), "pair-sets")
+    one = pairs.join(wanted.select(F.col("key").alias("src"), F.col("found").alias("a")), "src")
+    both = one.join(wanted.select(F.col("key").alias("dst"), F.col("found").alias("b")), "dst")
     return both.select("src", "dst", "a", "b").mapInArrow(_confirm, "src long, dst long")
 
 
@@ -275,7 +285,11 @@ def components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     texts = rows.join(wanted, (F.col("h") == F.col("_td_h")) & F.col("id").eqNullSafe(F.col("_td_id")), "left_semi")
     sets = stored(texts.select("text").mapInArrow(whole, "key long, found binary").dropDuplicates(["key"]), "sets")
 
+    sketches = stored(sets.mapInArrow(_sketched, "key long, n long, odd binary"), "sketches")
     stars = members.where("key != low").select(F.col("key").alias("src"), F.col("low").alias("dst")).distinct()
+    stars = stars.join(sketches.select(F.col("key").alias("src"), F.col("n"), F.col("odd").alias("a")), "src")
+    stars = stars.join(sketches.select(F.col("key").alias("dst"), F.col("n").alias("m"), F.col("odd").alias("b")), "dst")
+    stars = stored(stars.select("src", "dst", "n", "a", "m", "b").mapInArrow(_plausible, "src long, dst long"), "stars")
     links = stored(_links(stars, sets), "links")
     near = connected_components(links)
     labelled = members.join(near, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
@@ -283,7 +297,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     # A bucket of two has been settled by its star.
     span = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"))
     span = span.where("a != b AND size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(span, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(stored(sets.mapInArrow(_sketched, "key long, n long, odd binary"), "sketches"), "key")
+    left = labelled.join(span, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(sketches, "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = left.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     pairs = left.select("bucket", "i", "j", "block", "key", "root", "n", "odd").groupBy("bucket", "i", "j").applyInArrow(_hopeful, "src long, dst long")
