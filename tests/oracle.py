@@ -44,3 +44,11 @@ def features(events, spec, contract, entity, t):
         except TypeError:
             out[name] = None
     return out
+
+
+def published(versions, entity, t, ttl):
+    """(value, status) in force for an entity at t; versions are (entity, published at, rank, value)."""
+    best = max(((at, rank, value) for e, at, rank, value in versions if e == entity and at <= t), default=None)
+    if best is None:
+        return None, "not_published"
+    return (None, "expired") if t >= best[0] + ttl else (best[2], "present")

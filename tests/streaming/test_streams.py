@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import spec as specs
 from tidemark.plans.contract import INTERACTIONS
 from tidemark.streaming.feature_stream import TOO_LATE, FeatureStream
-from tidemark.streaming.windows import deduplicated, validated, windowed
+from tidemark.streaming.windows import deduplicated, deduplicated_for, validated, windowed
 
 DAY = datetime(2026, 1, 1, tzinfo=timezone.utc)
 PLAYS = specs.feature(
@@ -95,3 +95,21 @@ def test_deduplicated(spark, places):
 def test_only_counts(spark, places):
     with pytest.raises(ValueError):
         FeatureStream(spark, f"file://{places}/out", specs.feature("s", "user_id", [{"name": "s", "op": "sum", "column": "play_seconds"}], "1h"), INTERACTIONS)
+
+
+def test_keyed_state_finds_conflicts(spark, places):
+    quiet = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(quiet, "false")
+    try:
+        feed(places / "in", 0, line("a", 12, 0), line("a", 12, 0), line("b", 12, 1))
+        feed(places / "in", 1, line("a", 12, 0), line("c", 12, 0))
+        rows = stream(spark, places / "in").select(F.from_json("value", INTERACTIONS.schema).alias("e")).select("e.*")
+        q = deduplicated_for(rows, INTERACTIONS, "1h").writeStream.format("memory").queryName("kept").option("checkpointLocation", f"file://{places}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(r.event_id for r in spark.table("kept").collect()) == ["a", "b", "c"]
+        feed(places / "in", 2, line("b", 12, 1, play_seconds=77))
+        q = deduplicated_for(rows, INTERACTIONS, "1h").writeStream.foreachBatch(lambda f, n: f.count()).option("checkpointLocation", f"file://{places}/check").trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="different payloads"):
+            q.awaitTermination(120)
+    finally:
+        spark.conf.set(quiet, "true")

@@ -79,7 +79,7 @@ def build(out: DataFrame, excluded: dict[str, DataFrame], path: str, mode: str,
     spark = out.sparkSession
     require_utc(spark)
     dated = out.withColumn("observation_date", F.to_date("observation_time"))
-    dated.repartition("observation_date").write.mode("errorifexists").partitionBy("observation_date").parquet(path)
+    dated.repartitionByRange("observation_date", *(c for c in out.columns if c == "observation_time")).write.mode("errorifexists").partitionBy("observation_date").parquet(path)
     back = spark.read.parquet(path)
     counts = {str(r.observation_date): r["count"] for r in back.groupBy("observation_date").count().collect()}  # one row a day
     if not counts:
@@ -102,6 +102,39 @@ def load(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return frame.orderBy(*keys, "observation_time")
 
 
+class BatchedDataset:
+    """A dataset whose files agree with its manifest, read as Arrow batches without Spark.
+
+    Any store that pyarrow's filesystems can open will do.  Columns come in the
+    manifest's order; files in the order of their paths.
+    """
+
+    def __init__(self, path: str) -> None:
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(f"{base}/_manifest.json") as f:
+            self.manifest = json.loads(f.read())
+        part = ds.partitioning(pa.schema([("observation_date", pa.string())]), flavor="hive")
+        self.dataset = ds.dataset(base, format="parquet", filesystem=store, partitioning=part)
+        missing = [c for c in self.manifest["columns"] if c not in self.dataset.schema.names]
+        if missing:
+            raise ValueError(f"the files lack columns of the manifest: {missing}")
+        self.fragments = sorted(self.dataset.get_fragments(), key=lambda x: x.path)
+        counts: dict[str, int] = {}
+        for x in self.fragments:
+            day = ds.get_partition_keys(x.partition_expression)["observation_date"]
+            counts[day] = counts.get(day, 0) + x.count_rows()
+        if counts != self.manifest["partitions"] or sum(counts.values()) != self.manifest["rows"]:
+            raise ValueError("the files do not match the manifest")
+
+    def batches(self, size: int = 65_536) -> Iterator:
+        for x in self.fragments:
+            yield from x.to_batches(schema=self.dataset.schema, columns=self.manifest["columns"], batch_size=size)
+
+
 def batches(frame: DataFrame, size: int = 10_000) -> Iterator[list]:
     """Rows in batches, a partition at a time on the driver."""
     held: list = []

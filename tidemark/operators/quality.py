@@ -40,6 +40,7 @@ class FeatureView:
     recency: str
 
 
+# Names and columns of the two stored views.
 USER_VIEW = FeatureView(
     "user_engagement_features", "user_id",
     ("event_count", "unique_content_count", "total_watch_seconds", "search_count", "play_count", "watch_count"),
@@ -105,3 +106,69 @@ def freshness(newest: date | None, now: datetime, max_lag_days: float) -> tuple[
         return False, None
     lag = (now - datetime(newest.year, newest.month, newest.day, tzinfo=timezone.utc)).total_seconds() / 86400
     return 0 <= lag <= max_lag_days, lag
+
+
+@dataclass(frozen=True)
+class Expected:
+    """What a generated dataset was asked to hold."""
+
+    base_events: int
+    duplicate_rate: float
+    late_rate: float
+    labels: int
+
+    @property
+    def duplicates(self) -> int:
+        return int(self.base_events * self.duplicate_rate)
+
+    @property
+    def events(self) -> int:
+        return self.base_events + self.duplicates
+
+    @property
+    def late(self) -> int:
+        return int(self.events * self.late_rate)
+
+
+def dataset_report(users: DataFrame, content: DataFrame, events: DataFrame, labels: DataFrame, expected: Expected) -> DataFrame:
+    """One row: sizes, counts of what breaks each rule, what was expected, and ``passed``.
+
+    Events: known users; known items but for searches, which have none; watched
+    seconds above zero for play and watch and zero otherwise; received no
+    earlier than they happened, and later if marked late.  Labels: known
+    users, windows that end after they begin.  Four counts must be as expected.
+    """
+    c = F.col
+    watched = c("event_type").isin("play", "watch")
+    search = c("event_type") == "search"
+    known_users = users.select(c("user_id").alias("_u")).distinct()
+    known_items = content.select(c("content_id").alias("_c")).distinct()
+    marked = events.join(known_users, c("user_id") == c("_u"), "left").join(known_items, c("content_id") == c("_c"), "left")
+    rules = {
+        "unknown_event_users": c("_u").isNull(),
+        "unknown_event_content": ~search & c("_c").isNull(),
+        "searches_with_content": search & c("content_id").isNotNull(),
+        "wrong_watch_seconds": (watched & (c("watch_seconds") <= 0)) | (~watched & (c("watch_seconds") != 0)),
+        "received_before_event": c("ingested_at") < c("event_time"),
+        "late_without_delay": c("is_late") & (c("ingested_at") <= c("event_time")),
+    }
+    counted = marked.agg(
+        F.count(F.lit(1)).alias("event_count"), F.count(F.when(c("is_duplicate"), 1)).alias("duplicate_count"), F.count(F.when(c("is_late"), 1)).alias("late_event_count"),
+        *(F.count(F.when(bad, 1)).alias(name) for name, bad in rules.items()),
+    )
+    of_labels = labels.join(known_users, c("user_id") == c("_u"), "left").agg(
+        F.count(F.lit(1)).alias("label_count"), F.count(F.when(c("_u").isNull(), 1)).alias("unknown_label_users"),
+        F.count(F.when(c("label_window_end") <= c("observation_time"), 1)).alias("empty_label_windows"),
+    )
+    sizes = users.agg(F.count(F.lit(1)).alias("user_count")).join(content.agg(F.count(F.lit(1)).alias("content_count")))
+    wanted = {"duplicate_count": expected.duplicates, "late_event_count": expected.late, "event_count": expected.events, "label_count": expected.labels}
+    # Every side of these joins is one row.
+    out = sizes.join(counted).join(of_labels)
+    for name, n in wanted.items():
+        out = out.withColumn(f"expected_{name}", F.lit(n).cast("long")).withColumn(f"{name}_matches", c(name) == n)
+    good = F.lit(True)
+    for name in (*rules, "unknown_label_users", "empty_label_windows"):
+        good &= c(name) == 0
+    for name in wanted:
+        good &= c(f"{name}_matches")
+    return out.withColumn("passed", good)

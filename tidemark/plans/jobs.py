@@ -34,14 +34,14 @@ def backfill(spark: SparkSession, sources: str, output: str, first: date, last:
     try:
         events, days = source(spark, sources, "events"), profiles.dates(spark, first, last)
         made = {
-            USER_VIEW.name: profiles.user_engagement(events, source(spark, sources, "users"), days, window_days),
-            CONTENT_VIEW.name: profiles.content_popularity(events, source(spark, sources, "content"), days, window_days),
+            USER_VIEW: profiles.user_engagement(events, source(spark, sources, "users"), days, window_days),
+            CONTENT_VIEW: profiles.content_popularity(events, source(spark, sources, "content"), days, window_days),
         }
         for view, frame in made.items():
             rows = frame.withColumn("observation_time", F.col("observation_date").cast("timestamp"))
-            files.write_partitions(rows.repartition("observation_date"), f"{output}/{view}", ["observation_date"])
-            back = files.read_parquet(spark, f"{output}/{view}").where(F.col("observation_date").between(F.lit(first), F.lit(last)))
-            manifest["views"][view] = {str(r.observation_date): r["count"] for r in back.groupBy("observation_date").count().collect()}  # one row a date
+            files.write_partitions(rows.repartitionByRange("observation_date", view.key), f"{output}/{view.name}", ["observation_date"])
+            back = files.read_parquet(spark, f"{output}/{view.name}").where(F.col("observation_date").between(F.lit(first), F.lit(last)))
+            manifest["views"][view.name] = {str(r.observation_date): r["count"] for r in back.groupBy("observation_date").count().collect()}  # one row a date
         manifest["status"] = "completed"
     finally:
         files.write_json(spark, name, manifest, overwrite=True)

@@ -28,14 +28,24 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_json(spark: SparkSession, path: str, value, overwrite: bool = False) -> None:
-    """A small file, written under a temporary name and moved into place."""
+    """A small file, written under a temporary name and moved into place.
+
+    With ``overwrite`` the move replaces the old file in one step, so there is
+    no moment without one.
+    """
     store, p = _hadoop(spark, path)
     draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
     out = store.create(draft, True)
     out.write(bytearray(json.dumps(value, sort_keys=True, indent=1, default=str).encode()))
     out.close()
-    if overwrite and store.exists(p):
-        store.delete(p, False)
+    if overwrite:
+        jvm = spark.sparkContext._jvm
+        how = jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE
+        whole = store.makeQualified(p)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(store.makeQualified(draft), whole, options)
+        return
     if store.exists(p) or not store.rename(draft, p):
         store.delete(draft, False)
         raise FileExistsError(path)
@@ -93,19 +103,23 @@ def parsed_events(lines: DataFrame, contract: EventContract, column: str = "valu
             fields.append(value.alias(c))
     extra = F.array_except(F.map_keys("_m"), F.array(*(F.lit(c) for c in contract.columns)))
     problems.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown fields "), F.array_join(extra, ","))))
-    typed = rows.select(*lines.columns, "_m", *fields, F.filter(F.array(*problems), lambda x: x.isNotNull()).alias("_p"))
+    # The text's own columns stand aside, as the contract may use their names.
+    typed = rows.select(F.struct(*lines.columns).alias("_l"), "_m", *fields, F.filter(F.array(*problems), lambda x: x.isNotNull()).alias("_p"))
     broken = F.col("_m").isNull()
     errors = F.when(broken, F.array(F.lit("INVALID_JSON"))).otherwise(F.concat("_p", contract.violations()))
-    return typed.select(*lines.columns, F.struct(*contract.columns).alias("event"), errors.alias("errors"), F.when(broken, "INVALID_JSON").when(F.size(errors) > 0, "EVENT_CONTRACT_VIOLATION").alias("reason_code"))
+    return typed.select("_l.*", F.struct(*contract.columns).alias("event"), errors.alias("errors"), F.when(broken, "INVALID_JSON").when(F.size(errors) > 0, "EVENT_CONTRACT_VIOLATION").alias("reason_code"))
 
 
 def read_events_jsonl(spark: SparkSession, path: str, contract: EventContract) -> DataFrame:
-    """Events from JSON lines; the first bad line fails with its file and text."""
+    """Events from JSON lines; the first bad line fails with its file, number and text."""
     lines = spark.read.text(path).withColumn("_file", F.input_file_name()).where(F.trim("value") != "")
     rows = parsed_events(lines, contract)
-    bad = rows.where(F.size("errors") > 0).select("_file", "value", "errors").limit(1).collect()
+    bad = rows.where(F.size("errors") > 0).agg(F.min("_file")).first()[0]
     if bad:
-        raise ValueError(f"{bad[0][0]}: {bad[0].errors} in {bad[0].value[:200]}")
+        # Only a file that fails is read again, as a whole, to count its lines.
+        numbered = spark.read.text(bad, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).where(F.trim("value") != "")
+        first = parsed_events(numbered, contract).where(F.size("errors") > 0).orderBy("n").first()
+        raise ValueError(f"{bad}, line {first.n + 1}: {list(first.errors)} in {first.value[:200]}")
     return rows.select("event.*")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,14 @@ class SnapshotTable:
     def _commits(self, snapshot: int | None) -> list[str]:
         return json.loads(read_json(self.spark, f"{self.path}/snapshots/{snapshot:012d}.json"))["commits"] if snapshot is not None else []
 
-    def read(self, snapshot: int | None = None) -> DataFrame:
+    def read(self, snapshot: int | None = None, between: tuple[datetime, datetime] | None = None) -> DataFrame:
+        """The rows of a snapshot; ``between`` (both ends included) leaves the days outside it unread."""
         commits = self._commits(self.require(snapshot))
         base = f"{self.path}/data"
         frame = self.spark.read.schema(self.schema).option("basePath", base).parquet(*(f"{base}/commit={c}" for c in commits))
+        if between and self.partition_time:
+            low, high = (F.lit(x) for x in between)
+            frame = frame.where(F.col("_day").between(F.to_date(low), F.to_date(high)) & F.col(self.partition_time).between(low, high))
         return frame.select(self.schema.names)
 
     def _read_or_empty(self) -> DataFrame:
@@ -65,7 +70,8 @@ class SnapshotTable:
         commit = uuid.uuid4().hex
         rows = frame.select(self.schema.names)
         if self.partition_time:
-            rows = rows.withColumn("_day", F.to_date(self.partition_time)).repartition("_day")
+            # A day is spread over as many tasks as it needs: ranges of time, not one task a day.
+            rows = rows.withColumn("_day", F.to_date(self.partition_time)).repartitionByRange("_day", self.partition_time)
             rows.write.mode("errorifexists").partitionBy("_day").parquet(f"{self.path}/data/commit={commit}")
         else:
             rows.write.mode("errorifexists").parquet(f"{self.path}/data/commit={commit}")

@@ -10,7 +10,7 @@ again after a failure changes nothing.
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +100,9 @@ class FeatureStream:
     def _publish(self, touched: DataFrame, number: int) -> str:
         spec, contract, names = self.spec, self.contract, [a.name for a in self.spec.aggregations]
         used = [c for c in contract.columns if c not in spec.keys]
-        facts = self.facts.read().select(*spec.keys, *used, us(F.col(contract.time)).alias("_us"))
+        low, high = touched.agg(F.min("_t"), F.max("_t")).first()
+        between = tuple(datetime.fromtimestamp(x / 1e6, timezone.utc) + timedelta(seconds=s) for x, s in ((low - spec.size_us, -1), (high, 1)))
+        facts = self.facts.read(between=between).select(*spec.keys, *used, us(F.col(contract.time)).alias("_us"))
         joined = range_join(touched, facts, spec.keys, spec.size_us)
         compiler = Compiler({c: F.col(c) for c in [*spec.keys, *used]}, contract.kinds())
         aggs = [aggregate(a, compiler, F.col("_us").isNotNull(), F.col("_us"), F.col(contract.identity)).alias(a.name) for a in spec.aggregations]
