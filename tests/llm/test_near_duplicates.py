@@ -93,6 +93,23 @@ def test_masks_cover_every_similar_pair():
             assert set(shingle_cover.mask_keys(low, number).tolist()) & set(shingle_cover.mask_keys(high, number).tolist())
 
 
+def test_bounds_rule_out_no_similar_pair():
+    r = np.random.default_rng(1)
+    sets = []
+    for _ in range(60):
+        a = np.unique(r.integers(0, 1 << 63, size=int(r.choice([1, 3, 30, 62, 66, 130, 500, 2100]))).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        sets += [a] + [np.unique(np.concatenate((a[int(len(a) * x) :], r.integers(0, 1 << 63, size=int(len(a) * y)).astype(np.uint64)))) for x, y in ((0.1, 0.08), (0.0, 0.24), (0.2, 0.0), (0.3, 0.3))]
+    odd, n = [shingle_cover.parities(s) for s in sets], np.array([len(s) for s in sets])
+    table, ruled_out = shingle_cover.Sketches(n, odd), 0
+    for i in range(len(sets)):
+        near = set(table.near(int(n[i]), odd[i]).tolist())
+        for j in range(len(sets)):
+            ok = shingle_cover.may_be_similar(int(n[i]), odd[i], int(n[j]), odd[j])
+            assert ok == (j in near) and (ok or not shingle_cover.similar(sets[i], sets[j]))
+            ruled_out += not ok
+    assert ruled_out > 0.95 * len(sets) ** 2
+
+
 def test_only_confirmed_links_drop_documents(spark):
     """Fingerprints of half-similar texts are often near; none of these may go."""
     r = random.Random(8)

@@ -45,8 +45,6 @@ SIMILAR = 4, 5
 BLOCK = 1024
 #: A run of equal keys beyond this many sets goes under its key as it streams by.
 RUN = 1 << 20
-#: Bits of a set's parities.
-_PARITY = 2048
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -113,22 +111,63 @@ def mask_keys(found: np.ndarray, number: int) -> np.ndarray:
     return mix64(inside ^ mix64(own + np.uint64(number << 32)))
 
 
+def parity_bits(n: int) -> int:
+    """Classes of hashes for a set of ``n``: two or more for each of them, a power of two."""
+    return max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+
+
 def parities(found: np.ndarray) -> bytes:
-    """For each class of hashes whether the set has an odd number of it."""
-    return np.packbits(np.bincount((found & np.uint64(_PARITY - 1)).astype(np.int64), minlength=_PARITY) & 1).tobytes()
+    """For each class of hashes (their low bits) whether the set has an odd number of it."""
+    bits = parity_bits(len(found))
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
 
+def folded(odd: np.ndarray) -> np.ndarray:
+    """The parities of half as many classes; ``odd`` has 64-bit words in its last axis."""
+    half = odd.shape[-1] // 2
+    return odd[..., :half] ^ odd[..., half:]
 
-def may_be_similar(n: np.ndarray, odd: np.ndarray, m, other: np.ndarray) -> np.ndarray:
-    """False only where sizes or parities rule it out; ``m`` and ``other`` are of one set or one for each row.
+
+def may_be_similar(n: int, odd: bytes, m: int, other: bytes) -> bool:
+    """False only where sizes or parities rule it out.
 
     Similar sets differ in at most (den - num) / (den + num) of their summed sizes, parities in no more than that.
     """
     num, den = SIMILAR
-    out = num * np.maximum(n, m) <= den * np.minimum(n, m)
-    at = np.flatnonzero(out)
-    apart = np.bitwise_count(odd[at] ^ (other if other.ndim == 1 else other[at])).sum(axis=1, dtype=np.int64)
-    out[at] = (den + num) * apart <= (den - num) * (n + m)[at]
-    return out
+    if num * max(n, m) > den * min(n, m):
+        return False
+    a, b = np.frombuffer(odd, np.uint64), np.frombuffer(other, np.uint64)
+    while len(a) > len(b):
+        a = folded(a)
+    while len(b) > len(a):
+        b = folded(b)
+    return (den + num) * int(np.bitwise_count(a ^ b).sum()) <= (den - num) * (n + m)
+
+
+class Sketches:
+    """Sizes and parities of many sets, in one matrix for each number of classes."""
+
+    def __init__(self, n: np.ndarray, odd: list[bytes]) -> None:
+        self.n = n
+        words = np.array([len(x) // 8 for x in odd])
+        self.rows: dict[int, np.ndarray] = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+        self.whole = {w: np.frombuffer(b"".join([odd[i] for i in r.tolist()]), np.uint64).reshape(len(r), w) for w, r in self.rows.items()}
+        self.half = {w: folded(x) for w, x in self.whole.items() if w > 1}
+
+    def near(self, n: int, odd: bytes) -> np.ndarray:
+        """The sets that sizes and parities let be similar to one of ``n`` with parities ``odd``."""
+        num, den = SIMILAR
+        own = np.frombuffer(odd, np.uint64)
+        out = []
+        # Sizes within 5/4 of each other are at most one doubling apart.
+        for w, mine, theirs in ((len(own), own, self.whole), (2 * len(own), own, self.half), (len(own) // 2, folded(own) if len(own) > 1 else own, self.whole)):
+            if w not in self.rows or (w < len(own) and len(own) == 1):
+                continue
+            rows, m = self.rows[w], self.n[self.rows[w]]
+            at = np.flatnonzero(num * np.maximum(m, n) <= den * np.minimum(m, n))
+            apart = np.bitwise_count(theirs[w][at] ^ mine).sum(axis=1, dtype=np.int64)
+            out.append(rows[at[(den + num) * apart <= (den - num) * (m[at] + n)]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -194,9 +233,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that sizes and parities do not rule out."""
     for batch in (s for b in batches for s in small(b, 2000)):
-        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
-        yield batch.select([0, 1]).filter(pa.array(may_be_similar(n, a, m, b)))
+        n, a, m, b = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+        yield batch.select([0, 1]).filter(pa.array(list(map(may_be_similar, n, a, m, b)), pa.bool_()))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +254,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hopeful(table: pa.Table) -> pa.Table:
     """Pairs of two blocks of a bucket that are in different components and may be similar."""
     key, root, side, n = (table.column(c).to_numpy() for c in ("key", "root", "block", "n"))
-    odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(key), -1)
+    odd = table.column("odd").to_pylist()
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    sketches = Sketches(n[right], [odd[k] for k in right.tolist()])
     src, dst = [], []
     for a in left.tolist():
-        rest = right[(root[right] != root[a]) & (key[right] > key[a] if i == j else True)]
-        if len(rest):
-            near = rest[may_be_similar(n[rest], odd[rest], n[a], odd[a])]
+        near = right[sketches.near(int(n[a]), odd[a])]
+        near = near[(root[near] != root[a]) & ((key[near] > key[a]) | (i != j))]
+        if len(near):
             src.append(np.full(len(near), key[a]))
             dst.append(key[near])
     none = [np.zeros(0, np.int64)]
