@@ -102,7 +102,7 @@ def test_bounds_rule_out_no_similar_pair():
     odd, n = [shingle_cover.parities(s) for s in sets], np.array([len(s) for s in sets])
     table, ruled_out = shingle_cover.Sketches(n, odd), 0
     for i in range(len(sets)):
-        near = set(table.near(int(n[i]), odd[i]).tolist())
+        near = set(table.near(int(n[i]), odd[i])[0].tolist())
         for j in range(len(sets)):
             ok = shingle_cover.may_be_similar(int(n[i]), odd[i], int(n[j]), odd[j])
             assert ok == (j in near) and (ok or not shingle_cover.similar(sets[i], sets[j]))

@@ -13,9 +13,10 @@ more; ``m`` is chosen so that this is rare.  Sizes of one class are within
 5/4, so a set enters the tables of its own class and of the next.
 
 Only distinct sets meet.  The members of a bucket are first compared with its
-smallest one, by exact bounds from sizes and parities; buckets whose members are
-then still in different components compare blocks of them so.  Every link
-is confirmed by the exact similarity of the two sets (of 64-bit hashes).
+smallest one, by exact bounds from sizes and parities.  Where members are then
+still in different components, each is compared with the one elsewhere that
+looks closest, and at last all that the bounds do not rule out, in pairs of
+blocks that give joining links only, never pairs.  Every link is confirmed by the exact similarity of the two sets (of 64-bit hashes).
 
 Defined results: letters A-Z count as a-z; fewer words than a shingle has are
 one shingle; null and blank texts are copies of one another; of a component
@@ -154,11 +155,11 @@ class Sketches:
         self.whole = {w: np.frombuffer(b"".join([odd[i] for i in r.tolist()]), np.uint64).reshape(len(r), w) for w, r in self.rows.items()}
         self.half = {w: folded(x) for w, x in self.whole.items() if w > 1}
 
-    def near(self, n: int, odd: bytes) -> np.ndarray:
-        """The sets that sizes and parities let be similar to one of ``n`` with parities ``odd``."""
+    def near(self, n: int, odd: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that sizes and parities let be similar to one of ``n`` with parities ``odd``, and how far apart they look."""
         num, den = SIMILAR
         own = np.frombuffer(odd, np.uint64)
-        out = []
+        out, far = [np.zeros(0, np.int64)], [np.zeros(0)]
         # Sizes within 5/4 of each other are at most one doubling apart.
         for w, mine, theirs in ((len(own), own, self.whole), (2 * len(own), own, self.half), (len(own) // 2, folded(own) if len(own) > 1 else own, self.whole)):
             if w not in self.rows or (w < len(own) and len(own) == 1):
@@ -166,8 +167,10 @@ class Sketches:
             rows, m = self.rows[w], self.n[self.rows[w]]
             at = np.flatnonzero(num * np.maximum(m, n) <= den * np.minimum(m, n))
             apart = np.bitwise_count(theirs[w][at] ^ mine).sum(axis=1, dtype=np.int64)
-            out.append(rows[at[(den + num) * apart <= (den - num) * (m[at] + n)]])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+            ok = (den + num) * apart <= (den - num) * (m[at] + n)
+            out.append(rows[at[ok]])
+            far.append(apart[ok] / (m[at[ok]] + n))
+        return np.concatenate(out), np.concatenate(far)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -251,23 +254,72 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "odd"])
 
 
+class _Pair:
+    """Two blocks of a bucket: for each set of the left one, those of the right that are elsewhere and may be similar."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.key, self.root, side, self.n = (table.column(c).to_numpy() for c in ("key", "root", "block", "n"))
+        self.odd = table.column("odd").to_pylist()
+        self.i, self.j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        self.left, self.right = np.flatnonzero(side == self.i), np.flatnonzero(side == self.j)
+        self.sketches = Sketches(self.n[self.right], [self.odd[k] for k in self.right.tolist()])
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for a in self.left.tolist():
+            rows, far = self.sketches.near(int(self.n[a]), self.odd[a])
+            rows = self.right[rows]
+            ok = (self.root[rows] != self.root[a]) & ((self.key[rows] > self.key[a]) | (self.i != self.j))
+            if ok.any():
+                yield a, rows[ok], far[ok]
+
+
+def _pairs(src: list, dst: list) -> pa.Table:
+    a, b = np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+    return pa.table({"src": pa.array(np.maximum(a, b)), "dst": pa.array(np.minimum(a, b))})
+
+
+def _closest(table: pa.Table) -> pa.Table:
+    """For each set the one that looks closest: as many pairs as sets."""
+    pair = _Pair(table)
+    found = [(a, rows[np.lexsort((pair.key[rows], far))[0]]) for a, rows, far in pair]
+    return _pairs([pair.key[a] for a, _ in found], [pair.key[b] for _, b in found])
+
+
 def _hopeful(table: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a bucket that are in different components and may be similar."""
-    key, root, side, n = (table.column(c).to_numpy() for c in ("key", "root", "block", "n"))
-    odd = table.column("odd").to_pylist()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    sketches = Sketches(n[right], [odd[k] for k in right.tolist()])
+    """The sets of two blocks that may be similar to one in another component."""
+    pair = _Pair(table)
+    hope = np.zeros(len(pair.key), bool)
+    for a, rows, _ in pair:
+        hope[a] = hope[rows] = True
+    return table.select(["bucket", "i", "j", "block", "key", "root"]).filter(pa.array(hope))
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Links that join what similar sets of two blocks are in different components: fewer than sets."""
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+    with_sketch = table.drop_columns(["found"]).append_column("n", pa.array([len(s) for s in sets], pa.int64())).append_column("odd", pa.array([parities(s) for s in sets], pa.binary()))
+    pair = _Pair(with_sketch)
+    label = np.unique(pair.root, return_inverse=True)[1]
     src, dst = [], []
-    for a in left.tolist():
-        near = right[sketches.near(int(n[a]), odd[a])]
-        near = near[(root[near] != root[a]) & ((key[near] > key[a]) | (i != j))]
-        if len(near):
-            src.append(np.full(len(near), key[a]))
-            dst.append(key[near])
-    none = [np.zeros(0, np.int64)]
-    a, b = np.concatenate(src + none), np.concatenate(dst + none)
-    return pa.table({"src": pa.array(np.maximum(a, b)), "dst": pa.array(np.minimum(a, b))})
+    for a, rows, _ in pair:
+        for b in rows.tolist():
+            if label[b] != label[a] and similar(sets[a], sets[b]):
+                src.append(pair.key[a])
+                dst.append(pair.key[b])
+                label[label == label[b]] = label[a]
+    return _pairs(src, dst)
+
+
+def _opened(members: DataFrame, sketches: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of blocks of the buckets whose members are in several components, grouped."""
+    labelled = members.join(near, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    labelled = stored(labelled, "labels")
+    # A bucket of two has been settled by its star.
+    span = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"))
+    span = span.where("a != b AND size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    left = labelled.join(span, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(sketches, "key")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return left.select("bucket", "i", "j", "block", "key", "root", "n", "odd").groupBy("bucket", "i", "j")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -330,18 +382,13 @@ def components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     stars = stars.join(sketches.select(F.col("key").alias("dst"), F.col("n").alias("m"), F.col("odd").alias("b")), "dst")
     stars = stored(stars.select("src", "dst", "n", "a", "m", "b").mapInArrow(_plausible, "src long, dst long"), "stars")
     links = stored(_links(stars, sets), "links")
-    near = connected_components(links)
-    labelled = members.join(near, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    labelled = stored(labelled, "labels")
-    # A bucket of two has been settled by its star.
-    span = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"))
-    span = span.where("a != b AND size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(span, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).join(sketches, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = left.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    pairs = left.select("bucket", "i", "j", "block", "key", "root", "n", "odd").groupBy("bucket", "i", "j").applyInArrow(_hopeful, "src long, dst long")
-    across = stored(_links(stored(pairs.distinct(), "pairs"), sets), "more-links")
-    found = connected_components(links.unionByName(across))
+    # The closest ones elsewhere join most of what belongs together; then whatever is left is held against each other.
+    closest = _opened(members, sketches, connected_components(links)).applyInArrow(_closest, "src long, dst long")
+    links = links.unionByName(stored(_links(stored(closest.distinct(), "closest"), sets), "more-links"))
+    left = "bucket long, i int, j int, block int, key long, root long"
+    hopeful = stored(_opened(members, sketches, connected_components(links)).applyInArrow(_hopeful, left), "hopeful")
+    across = hopeful.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(_across, "src long, dst long")
+    found = connected_components(links.unionByName(stored(across.distinct(), "last-links")))
     return keyed.join(found, F.col("key") == F.col("node"), "left").select("id", "h", F.coalesce("root", "key").alias("root"))
 
 
