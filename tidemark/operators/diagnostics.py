@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import work_path
+
 
 def weekly_rate(frame: DataFrame, time: str, label: Column, days: int = 7) -> DataFrame:
     """Rows, positives, negatives and rate per run of days from the first day on."""
@@ -42,11 +44,19 @@ def auc(frame: DataFrame, score: str, label: Column) -> DataFrame:
 
     Scores are counted per value first, so ranks follow from running sums
     over distinct scores, and equal scores share a rank without being
-    gathered.
+    gathered.  The sums run inside ranges of scores, written once so that a
+    range stays what it is; only one total a range is summed in one place.
     """
+    spark = frame.sparkSession
     per = frame.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(label, 1).otherwise(0)).alias("p"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    ranked = per.withColumn("r", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    spread = per.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").withColumn("range", F.spark_partition_id())
+    path = work_path(spark, "score-ranges")
+    spread.write.parquet(path)
+    spread = spark.read.schema(spread.schema).parquet(path)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = spread.groupBy("range").agg(F.sum("n").alias("t")).select("range", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("offset"))
+    before = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = spread.join(offsets, "range").withColumn("r", F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
     one = ranked.agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"), F.sum(F.col("p") * F.col("r")).alias("rs"))
     value = (F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
     return one.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), value).alias("auc"))

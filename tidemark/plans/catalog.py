@@ -412,13 +412,12 @@ def weekly_rate(spark, sf_dir):
 
 
 @_query("""
-WITH r AS (SELECT event_type = 'purchase' AS y, (rank() OVER (ORDER BY round(value)) + (count(*) OVER (PARTITION BY round(value)) - 1) / 2.0::DOUBLE) AS r FROM events WHERE value IS NOT NULL),
+WITH r AS (SELECT event_type = 'purchase' AS y, (rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE) AS r FROM events WHERE value IS NOT NULL),
 a AS (SELECT sum(r) FILTER (WHERE y) AS rs, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM r)
 SELECT round((rs - p * (p + 1) / 2.0::DOUBLE) / (p * n::DOUBLE), 6) AS auc FROM a
 """)
 def auc(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("s", F.round("value"))
-    return diagnostics.auc(e, "s", F.col("event_type") == "purchase").select(F.round("auc", 6).alias("auc"))
+    return diagnostics.auc(events(spark, sf_dir), "value", F.col("event_type") == "purchase").select(F.round("auc", 6).alias("auc"))
 
 
 @_query("""
@@ -476,13 +475,13 @@ def star_revenue(spark, sf_dir):
 
 
 @_query("""
-WITH e AS (SELECT *, ts < TIMESTAMP '2024-01-16' AS train FROM events WHERE event_type IN ('view', 'purchase')), q AS (SELECT quantile_cont(value, 0.0) AS a, quantile_cont(value, 0.25) AS b, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) AS d, quantile_cont(value, 1.0) AS z FROM e WHERE train),
+WITH e AS (SELECT *, ts < TIMESTAMP '2024-01-16' AS train FROM events), q AS (SELECT quantile_cont(value, 0.0) AS a, quantile_cont(value, 0.25) AS b, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) AS d, quantile_cont(value, 1.0) AS z FROM e WHERE train),
 x AS (SELECT train, event_type = 'purchase' AS y, CASE WHEN value <= b THEN 0 WHEN value <= c THEN 1 WHEN value <= d THEN 2 ELSE 3 END::INTEGER AS bin FROM e, q WHERE value BETWEEN a AND z)
 SELECT bin, nullif(count(*) FILTER (WHERE train), 0) AS train_rows, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) FILTER (WHERE train), 6) AS train_rate,
        nullif(count(*) FILTER (WHERE NOT train), 0) AS test_rows, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT train), 6) AS test_rate FROM x GROUP BY 1
 """)
 def compare_bins(spark, sf_dir):
-    train, test = (f.where("event_type IN ('view', 'purchase')") for f in _halves(spark, sf_dir))
+    train, test = _halves(spark, sf_dir)
     out = diagnostics.compare_bins(train, test, "value", F.col("event_type") == "purchase")
     return out.select("bin", "train_rows", F.round("train_rate", 6).alias("train_rate"), "test_rows", F.round("test_rate", 6).alias("test_rate"))
 
