@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import work_path
+
 #: The white space of every word and line contract: U+0020 and U+0009-U+000D.
 WS = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -20,27 +20,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read and write.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (unit tests in local mode) a temporary folder of this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop.getFileSystem(conf).deleteOnExit(hadoop)
-    return path
+    return work_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

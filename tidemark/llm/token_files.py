@@ -44,6 +44,8 @@ FOOTER_MAGIC = 0x8F92EAB1
 INDEX_MAGIC = 0x184D2A50
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 18
+#: Bytes of text that go into one file, on average.
+FILE_BYTES = 256 << 20
 NULL_ID = -(1 << 63)
 #: Letters below this code point, and marks, on which all Unicode versions agree.
 LATIN_END, MARKS = "\u0250", ",.;:!?"
@@ -201,8 +203,10 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Write the ids of ``docs``; (``part``, ``file``, ``n_docs``, ``n_tokens``, ``bytes``) of each file."""
     path = path or default_path()
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    if files is None:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     rows = rows.repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
