@@ -44,8 +44,8 @@ FOOTER_MAGIC = 0x8F92EAB1
 INDEX_MAGIC = 0x184D2A50
 CHECKSUMS = 0x80
 FRAME_IDS = 1 << 18
-#: Bytes of text that go into one file, on average.
-FILE_BYTES = 256 << 20
+#: Bytes of text that go into one file, on average, and the rows their mean length is estimated on.
+FILE_BYTES, LENGTH_ROWS = 256 << 20, 5000
 NULL_ID = -(1 << 63)
 #: Letters below this code point, and marks, on which all Unicode versions agree.
 LATIN_END, MARKS = "\u0250", ",.;:!?"
@@ -205,8 +205,9 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     if files is None:
-        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+        # Only the number of files hangs on this estimate, and another scan of all texts would cost too much for it.
+        mean = rows.limit(LENGTH_ROWS).agg(F.coalesce(F.avg(F.octet_length("text")), F.lit(0.0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(docs.count() * mean / FILE_BYTES) + 1)
     rows = rows.repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
